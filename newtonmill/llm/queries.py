@@ -23,6 +23,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_encode
 
@@ -51,6 +57,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe": op3_bpe,
     "op4_token_counts": op4_token_counts,
     "op6_token_files": op6_token_files,
