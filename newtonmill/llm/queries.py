@@ -49,6 +49,32 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_index(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs, "lang", "text", "doc_id"), "doc_id", "text", declared_col="lang", host_col="source")
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, identify, page_parts
+
+    model = fit(table(spark, sf_dir, "documents"), "lang", "text", "doc_id")
+    return identify(page_parts(table(spark, sf_dir, "pages")), model, "page_id", "text", "declared", "suffix", "host")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import formatted_digest
+
+    return formatted_digest(table(spark, sf_dir, "conversations"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import secret_digest
 
@@ -61,6 +87,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_token_counts": op4_token_counts,
     "op6_token_files": op6_token_files,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_language_id": op8_language_id,
+    "page_language": page_language,
+    "op9_chat_format": op9_chat_format,
     "op10_secret_scan": op10_secret_scan,
 }
 

@@ -108,8 +108,13 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
 
 def whole(h: np.ndarray) -> int:
     """Hash of a sequence of any length."""
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([np.sum(mix(h + np.arange(len(h), dtype=U) * U(0x9E3779B97F4A7C15)), dtype=U) + U(len(h))], U))[0])
+    return int(mix(np.sum(mix(h + np.arange(len(h), dtype=U) * U(0x9E3779B97F4A7C15)), dtype=U, keepdims=True) + np.full(1, len(h), U))[0])
+
+
+def wholes(h: np.ndarray, n: int) -> np.ndarray:
+    """whole() of the n values from each on; for small n."""
+    last = len(h) - n + 1
+    return mix(sum((mix(h[j : last + j] + U(j * 0x9E3779B97F4A7C15 % (1 << 64))) for j in range(n)), np.full(max(last, 0), n, U)))
 
 
 def shingle_sets(words: Words, n: int = 5) -> list[np.ndarray]:
