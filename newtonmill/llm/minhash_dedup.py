@@ -6,10 +6,11 @@ more precisely the higher that is. A banded pair goes on to the exact comparison
 lies far below the threshold.
 
 Copies: documents with the same shingle set are one node, so copies are never paired. Within a band's bucket every
-node meets the least node first; what the confirmed links already join is settled. Where a bucket still holds nodes
-of several components, the pairs of different components are compared in blocks of bounded size, so no pair that
-shares a bucket goes untested unless it is joined anyway. With 40 bands of 4 samples a pair of similarity 0.75
-shares no bucket once in four million.
+node meets the least node first; what the confirmed links already join is settled. Nodes that led to the same least
+node are a family. Where it still holds several components, blocks of bounded size meet, and their exact links come
+out, never their pairs; where a bucket still holds several families and components, the sketches choose the pairs. So
+no pair that shares a bucket goes untested unless it is joined anyway. With 40 bands of 4 samples a pair of similarity
+0.75 shares no bucket once in four million.
 """
 
 import numpy as np
@@ -27,8 +28,10 @@ SAMPLES, BANDS, ROWS, BITS = 256, 40, 4, 512
 LONGS = BITS // 64
 #: Standard deviations by which a sketch may stray from what a pair at the threshold shows.
 SLACK = 5.5
-#: Members of a bucket that meet in one task.
-BLOCK = 256
+#: Members of a bucket or family that meet in one task, and bytes of their texts.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
+#: Shared shingles in one product of indicator matrices.
+COLUMNS = 4096
 _rng = np.random.default_rng(5)
 _A = (_rng.integers(0, 1 << 31, SAMPLES, dtype=np.int64) * 2 + 1).astype(np.uint32)[:, None]
 _B = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.int64).astype(np.uint32)[:, None]
@@ -124,28 +127,71 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> D
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(kernel, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, worst: int) -> DataFrame:
-    """Pairs (a, b) of one bucket but different components that the sketches leave; members: (key, node, component, sketch).
+def _dealt(members: DataFrame, by: str, size: str) -> DataFrame:
+    """Every pair of blocks (lo, hi) of each group `by` gets the rows of both; a group has a block for each BLOCK rows or BLOCK_BYTES of `size`."""
+    groups = members.groupBy(by).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(size) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = members.join(groups, by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks", size)
+
+
+def _within(families: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Confirmed links (a, b) between members of a family that lie in different components; families: (family, node, component, text).
 
-    Each bucket is dealt into blocks of about BLOCK members, and every pair of blocks meets in a group of its own."""
+    Two blocks of texts meet in each task. Their shared shingles make two indicator matrices, whose product has the size
+    of every intersection, so that no pair is emitted that is not a link."""
 
     def kernel(table: pa.Table) -> pa.Table:
-        node, part = (table.column(c).to_numpy() for c in ("node", "component"))
-        block = table.column("block").to_numpy()
+        node, part, block = (table.column(c).to_numpy() for c in ("node", "component", "block"))
+        found: list[tuple[int, int]] = []
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        bits = np.array(table.column("sketch").to_pylist(), np.int64).reshape(-1, LONGS).view(U)
         rows, cols = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        found = []
+        if len(np.unique(part)) > 1 and len(rows) and len(cols):
+            sets = W.shingle_sets(W.scan(table.column("text"), fold=True), shingle)
+            n = np.array([len(s) for s in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+            _, code, seen = np.unique(flat, return_inverse=True, return_counts=True)
+            code, owner = code[seen[code] > 1], owner[seen[code] > 1]
+            both = np.zeros((len(rows), len(cols)), np.float32)
+            order = np.argsort(code, kind="stable")
+            code, owner = code[order], owner[order]
+            place = np.full(len(sets), -1)
+            place[rows] = np.arange(len(rows))
+            across = np.full(len(sets), -1)
+            across[cols] = np.arange(len(cols))
+            dense = np.cumsum(np.concatenate([[0], np.diff(code) != 0]))
+            for k in range(0, int(dense[-1]) + 1 if len(dense) else 0, COLUMNS):
+                i, j = np.searchsorted(dense, [k, k + COLUMNS])
+                left, right = np.zeros((len(rows), COLUMNS), np.float32), np.zeros((len(cols), COLUMNS), np.float32)
+                o, d = owner[i:j], dense[i:j] - k
+                left[place[o][place[o] >= 0], d[place[o] >= 0]] = 1
+                right[across[o][across[o] >= 0], d[across[o] >= 0]] = 1
+                both += left @ right.T
+            both = np.rint(both).astype(np.int64)
+            linked = (100 * both >= percent * (n[rows][:, None] + n[cols][None, :] - both)) & (part[rows][:, None] != part[cols][None, :])
+            found = [(node[rows[r]], node[cols[c]]) for r, c in zip(*np.nonzero(linked))]
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    rows = _dealt(families.withColumn("size", F.octet_length("text")), "family", "size")
+    return rows.groupBy("family", "lo", "hi").applyInArrow(kernel, "a long, b long")
+
+
+def _across(members: DataFrame, worst: int) -> DataFrame:
+    """Pairs (a, b) of one bucket but different families and components that the sketches leave; members: (key, node, family, component, sketch)."""
+
+    def kernel(table: pa.Table) -> pa.Table:
+        node, part, family, block = (table.column(c).to_numpy() for c in ("node", "component", "family", "block"))
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        bits = np.array(table.column("sketch").to_pylist(), np.int64).reshape(-1, LONGS).view(U)
+        rows, cols, found = np.flatnonzero(block == lo), np.flatnonzero(block == hi), []
         for r in rows.tolist():
-            near = np.bitwise_count(bits[cols] ^ bits[r]).sum(axis=1) <= worst
-            c = cols[near & (part[cols] != part[r])]
-            found += [(max(node[r], x), min(node[r], x)) for x in node[c]] if lo != hi else [(node[r], x) for x in node[c] if x < node[r]]
+            c = cols[(part[cols] != part[r]) & (family[cols] != family[r])]
+            c = c[np.bitwise_count(bits[c] ^ bits[r]).sum(axis=1) <= worst]
+            found += [(max(node[r], x), min(node[r], x)) for x in node[c]]
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    sized = members.groupBy("key").agg(F.count("*").alias("n"))
-    dealt = members.join(sized, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    pairs = dealt.select("key", "node", "component", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return pairs.select("key", "node", "component", "sketch", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).groupBy("key", "lo", "hi").applyInArrow(kernel, "a long, b long").distinct()
+    rows = _dealt(members.withColumn("size", F.lit(0)), "key", "size")
+    return rows.groupBy("key", "lo", "hi").applyInArrow(kernel, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = 5) -> DataFrame:
@@ -163,26 +209,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = nodes.select("node", "sketch")
     members = nodes.select("node", F.explode("bands").alias("key"))
     hubs = save(members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub"))
-    pairs = members.join(hubs, "key").where("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-
-    def weeded(pairs: DataFrame) -> DataFrame:
-        one, two = sketches.toDF("a", "sketch_a"), sketches.toDF("b", "sketch_b")
-        return pairs.join(one, "a").join(two, "b").where(_differing("sketch_a", "sketch_b") <= worst).select("a", "b")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi"))
-        return save(confirm(pairs, texts, percent, shingle))
-
-    links = confirmed(save(weeded(pairs)))
+    met = save(members.join(hubs, "key").where("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    one, two = sketches.toDF("a", "sketch_a"), sketches.toDF("b", "sketch_b")
+    pairs = save(met.join(one, "a").join(two, "b").where(_differing("sketch_a", "sketch_b") <= worst).select("a", "b"))
+    wanted = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi"))
+    links = save(confirm(pairs, texts, percent, shingle))
     joined = save(components(links))
-    parts = members.join(hubs, "key").join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    split = save(parts.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"))
-    if not split.isEmpty():
-        rest = _across(parts.join(split, "key").join(sketches, "node"), worst)
-        rest = save(rest.join(pairs, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            joined = save(components(links.unionAll(confirmed(rest))))
+
+    # a node's family: the least hub that it or its hubs have met
+    first = pairs.groupBy("a").agg(F.min("b").alias("family"))
+    second = pairs.join(first.select(F.col("a").alias("b"), F.col("family").alias("further")), "b", "left").groupBy("a").agg(F.min(F.least("b", F.coalesce("further", "b"))).alias("family"))
+    family = second.unionAll(pairs.select("b", "b")).groupBy(F.col("a").alias("node")).agg(F.min("family").alias("family"))
+    known = save(members.join(hubs.select("key"), "key", "left_semi").select("node").distinct().join(joined, "node", "left").join(family, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("family", "node").alias("family")))
+    split = known.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("family")
+    families = known.join(save(split), "family").join(texts.select(F.col("id").alias("node"), "text"), "node")
+    links = save(links.unionAll(_within(families, percent, shingle)))
+    parts = members.join(hubs.select("key"), "key", "left_semi").join(known, "node")
+    split = parts.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("family").alias("v"), F.max("family").alias("w")).where("x < y and v < w").select("key")
+    rest = _across(parts.join(save(split), "key").join(sketches, "node"), worst).join(met, ["a", "b"], "left_anti")
+    joined = save(components(links.unionAll(confirm(save(rest), texts, percent, shingle))))
     ids = nodes.join(joined, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("c"))
     ids = save(ids)
     # rows that share an id but not a text are one document
