@@ -43,6 +43,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import compare_with_edits
+
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_file_index
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe": op3_bpe,
     "op4_token_counts": op4_token_counts,
+    "op5_spotsigs": op5_spotsigs,
     "op6_token_files": op6_token_files,
     "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
