@@ -81,10 +81,11 @@ def fit(labelled: DataFrame, label_col: str, text_col: str, id_col: str, sample:
 
 
 def text_scores(docs: DataFrame, languages: list[str], table: np.ndarray, *keep: Column) -> DataFrame:
-    """The columns kept, n_letters (trigrams with letters) and scores: weighted log likelihoods by language. docs: text in column `text`."""
+    """The columns kept, n_letters (trigrams with letters), scores (weighted log likelihoods by language) and by_text (posteriors by the text alone). docs: text in column `text`."""
     sent = docs.sparkSession.sparkContext.broadcast(table)  # BINS values for each language
     kept = docs.select(*keep)
     columns = kept.columns
+    flat = np.array([*[math.log((1 - UNKNOWN_SHARE) / max(1, len(languages) - 1))] * (len(languages) - 1), math.log(UNKNOWN_SHARE)])
 
     def kernel(batches):
         table = sent.value
@@ -96,20 +97,15 @@ def text_scores(docs: DataFrame, languages: list[str], table: np.ndarray, *keep:
                 filled = np.flatnonzero(n)
                 for k, row in enumerate(table):
                     sums[filled, k] = np.add.reduceat(row[bins], borders[:-1][filled])
-            scores = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, len(table)), pa.int32()), pa.array(sums.reshape(-1) * WEIGHT))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(n, pa.int64()), scores], [*columns, "n_letters", "scores"])
+            sums *= WEIGHT
+            told = np.exp(sums + flat - (sums + flat).max(axis=1, keepdims=True))
+            told /= told.sum(axis=1, keepdims=True)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(table)), pa.int32()), pa.array(x.reshape(-1))) for x in (sums, told)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(n, pa.int64()), *lists], [*columns, "n_letters", "scores", "by_text"])
 
     bound_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select(*keep, F.col("text")).mapInArrow(kernel, f"{schema}, n_letters long, scores array<double>")
-
-
-def _posterior(scores: Column, n: int) -> Column:
-    """Probabilities from an array of n log weights."""
-    top = F.array_max(scores)
-    weights = [F.exp(scores[k] - top) for k in range(n)]
-    total = sum(weights[1:], weights[0])
-    return F.array(*(w / total for w in weights))
+    return docs.select(*keep, F.col("text")).mapInArrow(kernel, f"{schema}, n_letters long, scores array<double>, by_text array<double>")
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str, text_col: str, declared_col: str | None = None, suffix_col: str | None = None, host_col: str | None = None) -> DataFrame:
@@ -124,9 +120,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str,
     some = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), some(declared_col).alias("declared"), some(suffix_col).alias("suffix"), some(host_col).alias("host"))
     scored = save(text_scores(rows, languages, table, *map(F.col, ("id", "declared", "suffix", "host"))))
-    flat = F.array(*(F.lit(math.log((1 - UNKNOWN_SHARE) / (n - 1))) for _ in range(n - 1)), F.lit(math.log(UNKNOWN_SHARE)))
-    by_text = _posterior(F.zip_with("scores", flat, lambda a, b: a + b), n)
-    told = scored.where("n_letters > 0").select("declared", "suffix", "host", by_text.alias("p"))
+    told = scored.where("n_letters > 0").select("declared", "suffix", "host", F.col("by_text").alias("p"))
     sums = [F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(n)]
     # posteriors are summed before the shuffle, so a host with a third of all rows is one row for each task
     by_host = save(told.groupBy("suffix", "host").agg(*sums))
@@ -151,9 +145,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str,
     fused = F.array(*(F.col("scores")[k] + F.log(prior[k] + 1e-12) + F.log(likely[k] + 1e-12) for k in range(n)))
     names = F.array(*map(F.lit, languages))
     best = lambda p: names[F.array_position(p, F.array_max(p)).cast("int") - 1]
-    out = joined.select("id", "n_letters", by_text.alias("by_text"), _posterior(fused, n).alias("by_all"))
-    heard = F.col("n_letters") > 0
-    out = out.select("id", F.when(heard, best(F.col("by_all"))).otherwise(UNKNOWN).alias("language"), F.round(F.when(heard, F.array_max("by_all")).otherwise(1.0), 6).alias("probability"), F.when(heard, best(F.col("by_text"))).otherwise(UNKNOWN).alias("text_language"))
+    out = joined.select("id", (F.col("n_letters") > 0).alias("heard"), "by_text", fused.alias("fused"))
+    top = F.array_max("fused")
+    share = 1 / F.aggregate("fused", F.lit(0.0), lambda total, x: total + F.exp(x - top))
+    told = lambda c, silent: F.when(F.col("heard"), c).otherwise(silent)
+    out = out.select("id", told(best(F.col("fused")), UNKNOWN).alias("language"), F.round(told(share, 1.0), 6).alias("probability"), told(best(F.col("by_text")), UNKNOWN).alias("text_language"))
     return out.withColumn("kept", F.col("language") != UNKNOWN).withColumnRenamed("id", id_col)
 
 

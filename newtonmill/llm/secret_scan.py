@@ -172,6 +172,21 @@ def redacted(text: str | None, spans: list[tuple[str, int, int, int, int]]) -> s
     return "".join(out) + text[at:] if spans else text
 
 
+def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All rows and columns of docs, with the secrets in text_col replaced by [secret]. A null text stays null."""
+    place = docs.columns.index(text_col)
+
+    def kernel(batches):
+        scan = scanner()
+        for batch in batches:
+            texts = [redacted(t, scan.spans(t)) if t else t for t in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(batch.num_columns)], batch.schema.names)
+
+    bound_batches(docs.sparkSession)
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    return docs.mapInArrow(kernel, docs.schema)
+
+
 def secret_digest(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row of documents."""
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
