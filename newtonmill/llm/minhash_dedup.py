@@ -209,11 +209,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = nodes.select("node", "sketch")
     members = nodes.select("node", F.explode("bands").alias("key"))
     hubs = save(members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub"))
-    met = save(members.join(hubs, "key").where("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    buckets = save(members.join(hubs, "key"))
+    met = save(buckets.where("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     one, two = sketches.toDF("a", "sketch_a"), sketches.toDF("b", "sketch_b")
     pairs = save(met.join(one, "a").join(two, "b").where(_differing("sketch_a", "sketch_b") <= worst).select("a", "b"))
     wanted = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi"))
+    texts = save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted.hint("merge"), "id", "left_semi"))
     links = save(confirm(pairs, texts, percent, shingle))
     joined = save(components(links))
 
@@ -221,11 +222,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = pairs.groupBy("a").agg(F.min("b").alias("family"))
     second = pairs.join(first.select(F.col("a").alias("b"), F.col("family").alias("further")), "b", "left").groupBy("a").agg(F.min(F.least("b", F.coalesce("further", "b"))).alias("family"))
     family = second.unionAll(pairs.select("b", "b")).groupBy(F.col("a").alias("node")).agg(F.min("family").alias("family"))
-    known = save(members.join(hubs.select("key"), "key", "left_semi").select("node").distinct().join(joined, "node", "left").join(family, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("family", "node").alias("family")))
+    known = save(buckets.select("node").distinct().join(joined, "node", "left").join(family, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("family", "node").alias("family")))
     split = known.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("family")
     families = known.join(save(split), "family").join(texts.select(F.col("id").alias("node"), "text"), "node")
     links = save(links.unionAll(_within(families, percent, shingle)))
-    parts = members.join(hubs.select("key"), "key", "left_semi").join(known, "node")
+    parts = buckets.select("key", "node").join(known, "node")
     split = parts.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("family").alias("v"), F.max("family").alias("w")).where("x < y and v < w").select("key")
     rest = _across(parts.join(save(split), "key").join(sketches, "node"), worst).join(met, ["a", "b"], "left_anti")
     joined = save(components(links.unionAll(confirm(save(rest), texts, percent, shingle))))
