@@ -38,16 +38,23 @@ def _alternatives(words: list[str]) -> str:
     return "|".join(f"{c}(?:{'|'.join(tails[c])})" for c in letters)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def signatures(text: Column) -> Column:
     """The sorted set of hashed spot signatures of a text; an empty or null text has none."""
-    plain = F.concat(F.ltrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+", " ")), F.lit(" "))
+    none = F.array().cast("array<long>")
+    anchored = lambda u: F.instr(u, " ") < F.length(u)
+    spot = lambda u, v: F.when(v.isNotNull() & anchored(u), F.xxhash64(u, F.substring_index(v, " ", -2)))
+    spots = lambda units: F.array_sort(F.array_distinct(F.array_compact(F.zip_with(units, F.slice(units, 2, F.greatest(F.size(units), F.lit(1))), spot))))
+    with_words = lambda units, found: F.array_sort(F.array_distinct(F.concat(found, F.transform(units, lambda u: F.xxhash64(u)))))
+    chosen = lambda units: _let(spots(units), lambda found: F.when((F.size(found) >= FEW) | (F.size(units) == 0), found).otherwise(with_words(units, found)))
     # a unit is a content word with the anchors before it; anchors at the end are no unit
+    plain = F.concat(F.ltrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+", " ")), F.lit(" "))
     units = F.regexp_extract_all(plain, F.lit(f"(?:(?:{_alternatives(ANCHORS)}) )*+[^ ]+ +"), F.lit(0))
-    spot = lambda u, v: F.when(F.instr(u, " ") < F.length(u), F.xxhash64(u, F.substring_index(v, " ", -2)))
-    found = F.array_sort(F.array_distinct(F.array_compact(F.zip_with(units, F.slice(units, 2, F.greatest(F.size(units), F.lit(1))), lambda u, v: F.when(v.isNotNull(), spot(u, v))))))
-    none = F.array().cast("array<long>")
-    more = F.array_sort(F.array_distinct(F.concat(found, F.transform(units, lambda u: F.xxhash64(u)))))
-    return F.when(F.size(found) >= FEW, found).when(F.size(units) > 0, more).when(F.length(text) > 0, F.array(F.xxhash64(text))).otherwise(none)
+    return _let(_let(units, chosen), lambda found: F.when((F.size(found) == 0) & (F.length(text) > 0), F.array(F.xxhash64(text))).otherwise(F.coalesce(found, none)))
 
 
 def fingerprint(signatures: Column) -> Column:
