@@ -681,3 +681,35 @@ def synthetic_classes(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five rounds with a top-k compressor on the samples of lineitem."""
     return trained(training_set(spark, sf_dir), rounds=5, option="b", compressor="topk", k_mult=2.0)
+
+
+@query("WITH p AS (SELECT c_nationkey AS k, CAST(c_custkey AS DOUBLE) AS x, c_acctbal AS y FROM customer), q AS (SELECT s_nationkey AS k, s_suppkey + 0.5::DOUBLE AS x FROM supplier), j AS (SELECT q.k, q.x, arg_max(p.y, p.x) FILTER (p.x <= q.x) AS ly, max(p.x) FILTER (p.x <= q.x) AS lx, arg_min(p.y, p.x) FILTER (p.x > q.x) AS hy, min(p.x) FILTER (p.x > q.x) AS hx FROM q JOIN p ON p.k = q.k GROUP BY q.k, q.x) SELECT k, x, round(CASE WHEN lx IS NULL THEN hy WHEN hx IS NULL THEN ly ELSE ly + (hy - ly)*(x - lx)/(hx - lx) END, 6) AS y FROM j")
+def interpolation(spark, sf_dir):
+    from .operators.series import interpolate
+
+    p = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").cast("double").alias("x"), F.col("c_acctbal").alias("y"))
+    q = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), (F.col("s_suppkey") + 0.5).alias("x"))
+    known = q.join(p.select("k").distinct(), "k", "left_semi")
+    return rounded(interpolate(p, known, "k"))
+
+
+@query("SELECT p_partkey, CAST(p_partkey % 11 AS INT) AS bucket, v*4 AS v FROM (SELECT p_partkey, p_retailprice AS v FROM part) WHERE p_partkey // 50 % 4 = 2")
+def selection_bucket(spark, sf_dir):
+    t = table(spark, sf_dir, "part").select("p_partkey", F.pmod("p_partkey", F.lit(11)).cast("int").alias("bucket"), F.pmod("p_partkey", F.lit(200)).alias("pos"), F.col("p_retailprice").alias("v"))
+    return C.bucket_of(t, 50, F.lit(2), 4).select("p_partkey", "bucket", "v")
+
+
+@query(f"WITH {SQL_V} SELECT vec_id, CAST(k - 1 AS INT) AS pos, CASE WHEN a[k] = 0 THEN 0 ELSE sign(a[k])*CASE WHEN abs(a[k]) - p <= 2*p - abs(a[k]) THEN p ELSE 2*p END END AS v FROM (SELECT vec_id, a, k, CASE WHEN a[k] = 0 THEN 0::DOUBLE ELSE power(2::DOUBLE, floor(log2(abs(a[k])))) END AS p FROM V, (SELECT unnest(range(1, 65)) AS k))")
+def biased_rounding(spark, sf_dir):
+    return vectors(spark, sf_dir).select("vec_id", F.posexplode("a").alias("pos", "v")).select("vec_id", "pos", C.rounded(F.col("v"), 2.0).alias("v"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def top_orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey")
+
+
+@query("SELECT a.i, a.j, a.v - coalesce(b.v, 0) AS v FROM (SELECT CAST(l_suppkey % 6 AS INT) AS i, CAST(l_partkey % 6 AS INT) AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) a LEFT JOIN (SELECT CAST(l_partkey % 6 AS INT) AS i, CAST(l_suppkey % 6 AS INT) AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) b ON a.i = b.i AND a.j = b.j WHERE a.i <= a.j")
+def upper_difference(spark, sf_dir):
+    m = matrix(spark, sf_dir)
+    return M.upper_difference(m, M.transpose(m))

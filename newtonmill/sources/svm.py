@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import tokens
 
 
-def read_text(spark: SparkSession, path: str, rename: str = r"\t ") -> DataFrame:
+def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(line): the non-empty lines of text files."""
     return spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", "\r", "").alias("line")).where(F.length(F.trim("line")) > 0)
 
@@ -56,3 +56,18 @@ def read_dataset(spark: SparkSession, path: str, intercept: bool = True, remap:
     if not p.ok:
         raise ValueError(f"two labels are needed, found {p.labels}")
     return densify(samples, p.min_index, p.max_index, (p.min_label + p.max_label) / 2 if remap else None, intercept)
+
+
+def read_fixed(spark: SparkSession, path: str, rows: int, clients: int, d: int) -> DataFrame:
+    """(client_id, label, features) of the first `rows` lines of text with 1-based indices and a known width, in equal contiguous shares.
+
+    Lines are numbered file by file; a file's lines keep their order."""
+    from ..operators.partition import assign_clients
+
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")).where(F.length(F.trim("line")) > 0)
+    # file order is the order of the ids, so a range of them is a range of lines
+    first = lines.orderBy("at").limit(rows)
+    from ..operators.partition import row_index
+
+    dealt = assign_clients(row_index(first, "at"), clients, rows)
+    return densify(parse(dealt, "client_id"), 1, d).where("client_id is not null").select("client_id", "label", "features")
