@@ -92,7 +92,7 @@ def each(a: Column, name: str) -> Column:
     """An element-wise function by name."""
     known = {
         "abs": F.abs, "exp": F.exp, "log": F.log, "sqrt": F.sqrt, "square": lambda x: x * x, "inverse": lambda x: 1 / x,
-        "inverse_square": lambda x: 1 / (x * x), "negative": lambda x: -x, "sigmoid": sigmoid, "sigmoid_series": sigmoid_series,
+        "inverse_square": lambda x: 1 / (x * x), "negative": lambda x: -x, "sigmoid": sigmoid, "sigmoid_series": lambda x: sigmoid_series(x),
     }
     return F.transform(a, known[name])
 
