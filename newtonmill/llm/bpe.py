@@ -11,19 +11,20 @@ Both tables are bounded, the automaton by the vocabulary and the kept pairs and
 
 import json
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable, groups
+from .chunks import ChunkTable, groups, split_words
 from .store import bound_batches
 
 #: Pre-tokens of the vocabulary's own pattern. Fixed values of the tokenizer file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Distinct chunks and pre-tokens that a worker keeps.
-KEPT = 200_000
+KEPT = 450_000
 WORD_END = 256
 
 
@@ -138,7 +139,7 @@ class Bpe:
         key = a << 20 | b
         found = self.beside.get(key)
         if found is None:
-            if len(self.beside) > 4 * KEPT:
+            if len(self.beside) > KEPT:
                 self.beside.clear()
             left = self._spine(a, 1)
             found = self.beside[key] = not any(r < x_taken and r <= y_taken for y, y_taken in self._spine(b, 0) for x, x_taken in left if (r := self.rank.get((x, y))) is not None)
@@ -193,19 +194,21 @@ class Bpe:
         return self._size(self.halves[t][0]) + self._size(self.halves[t][1]) if t in self.halves else 1
 
     def normalize(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
         # a capital sigma is lower-cased without regard to its place
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def _chunks(self, chunks: list[str]) -> list[list[int]]:
-        split = [[] if c in self.special else self.words.findall(self.normalize(c)) for c in chunks]
-        if len(self.kept) > 2 * KEPT:
+        split = [[] if c in self.special else self.words.findall(c) for c in chunks]
+        if len(self.kept) > KEPT:
             self.kept.clear()
         self.kept |= self.encode_words(list({w for ws in split for w in ws if w not in self.kept}))
         return [[self.special[c]] if c in self.special else [i for w in ws for i in self.kept[w]] for c, ws in zip(chunks, split)]
 
     def chunks(self, text: str) -> list[str]:
-        """What stands between white space, and special tokens; the vocabulary's pattern matches nothing across them."""
-        split = self.by_space if self.odd.search(text) else str.split
+        """What stands between white space, normalized, and special tokens; the vocabulary's pattern matches nothing across them."""
+        split = (lambda p: self.by_space(self.normalize(p))) if self.odd.search(text) else (lambda p: split_words(self.normalize(p)))
         if "<|" in text:
             return [c for p in self.specials.split(text) for c in ([p] if p in self.special else split(p))]
         return split(text)
@@ -214,7 +217,7 @@ class Bpe:
         """All ids one after another, the border of each text, and the decoded texts."""
         lists = [self.chunks(t) for t in texts]
         first = np.cumsum([0, *map(len, lists)])
-        codes = self.table.codes((c for x in lists for c in x), int(first[-1]))
+        codes = self.table.codes(chain.from_iterable(lists), int(first[-1]))
         ids = self.table.gather(codes)
         borders = np.concatenate([[0], np.cumsum(self.table.length[codes])])[first]
         return ids, borders, self.decode(ids, borders)

@@ -7,6 +7,7 @@ shuffled or broadcast; a shuffle of pre-tokens and their frequencies would move
 """
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,7 @@ class PieceCounter:
             else:
                 lists.append((FIRST + text.replace("\n", " \n")).split(" "))
         first = np.cumsum([0, *map(len, lists)])
-        codes = self.table.codes((c for x in lists for c in x), int(first[-1]))
+        codes = self.table.codes(chain.from_iterable(lists), int(first[-1]))
         out = per_text(self.table.flat[self.table.start[codes]].astype(np.int64), first)
         for i, n in rest.items():
             out[i] = n
