@@ -101,4 +101,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = "coalesce(regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+'), CAST([] AS VARCHAR[]))"
+FOLDED = WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+#: Runs of n words of a list w, as texts.
+GRAMS = "unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' ')))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": f"""WITH RECURSIVE d AS (SELECT doc_id, w, least(len(w), 5) AS n FROM (SELECT doc_id, {FOLDED} AS w FROM documents) t),
+  s AS (SELECT DISTINCT doc_id, {GRAMS} AS s FROM d WHERE n > 0), c AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+  l AS (SELECT x, y FROM p JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y WHERE 100*i >= 75*(a.c + b.c - i)),
+  r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x), m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+  SELECT d.doc_id, coalesce(c.c, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN m ON m.x = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""",
+    "op2_substring_dedup": f"""WITH d AS (SELECT doc_id, {WORDS.format(text="text")} AS w FROM documents),
+  t AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d)),
+  f AS (SELECT h, min(doc_id) AS m FROM t GROUP BY h), g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS k FROM t JOIN f ON t.h = f.h WHERE m < doc_id),
+  e AS (SELECT doc_id, k, w[k] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+  o AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY e.k) FILTER (g.k IS NULL) AS kept, count(g.k) AS n FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.k = e.k GROUP BY e.doc_id)
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o ON o.doc_id = d.doc_id""",
+    "op7_decontaminate": f"""WITH i AS (SELECT item_id, w, least(len(w), 5) AS n FROM (SELECT item_id, {FOLDED} AS w FROM benchmark) t), a AS (SELECT DISTINCT item_id, n, {GRAMS} AS s FROM i WHERE n > 0),
+  d AS (SELECT doc_id, w, n FROM (SELECT doc_id, {FOLDED} AS w FROM documents) t, (SELECT DISTINCT n FROM i WHERE n > 0)), b AS (SELECT DISTINCT doc_id, n, {GRAMS} AS s FROM d WHERE len(w) >= n),
+  c AS (SELECT item_id, count(*) AS n_item FROM a GROUP BY item_id), m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM a JOIN b ON a.n = b.n AND a.s = b.s GROUP BY ALL)
+  SELECT doc_id, m.item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN c ON c.item_id = m.item_id WHERE 100*n_shared >= 75*n_item""",
+    "op9_chat_format": """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(20 + length(replace(replace(replace(role || text, chr(92), 'xx'), '<', 'xx'), '[', 'xx')))::BIGINT AS formatted_chars FROM t GROUP BY conv_id""",
+}
