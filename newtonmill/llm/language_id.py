@@ -58,7 +58,10 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, label_col: str, text_col: str, id_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages, and log likelihoods by bin and language, from the whole texts of at most `sample` labelled rows, chosen by a hash of their ids."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).where("label is not null and text is not null and id is not null")
-    chosen = [r[0] for r in rows.select("id").orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
+    # only ids under a bound that about twice as many pass are put in order, so tasks send few rows however many they are
+    share = min(1.0, 2 * sample / max(1, rows.count()))
+    few = rows.select("id").where(F.shiftrightunsigned(F.xxhash64("id"), 2) <= int(share * (1 << 62)))
+    chosen = [r[0] for r in few.orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
 
     def kernel(batches):
         for batch in batches:
