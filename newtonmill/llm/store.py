@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Limits of one Arrow batch between the JVM and Python; both bound the memory of a kernel.
-BATCH_ROWS = 1024
+BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
 
 
