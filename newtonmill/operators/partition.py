@@ -8,27 +8,16 @@ from pyspark.sql import functions as F
 def row_index(df: DataFrame, *order: Column | str, name: str = "sample_id") -> DataFrame:
     """df with each row's place in the order given, from 0, without bringing all rows to one task.
 
-    Rows are dealt out by ranges; a task counts from where the tasks before it end. Only their row counts go to the driver."""
-    df = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    sizes = {r._part: r["count"] for r in df.groupBy("_part").count().collect()}
-    before, total = {}, 0
-    for part in sorted(sizes):
-        before[part], total = total, total + sizes[part]
-    schema = df.drop("_part").withColumn(name, F.lit(0).cast("long")).schema
-    place = df.columns.index("_part")
-
-    def kernel(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        at = None
-        for batch in batches:
-            if batch.num_rows:
-                at = before[batch.column(place)[0].as_py()] if at is None else at
-                yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != place), pa.array(np.arange(at, at + batch.num_rows))], schema.names)
-                at += batch.num_rows
-
-    return df.mapInArrow(kernel, schema)
+    Rows are dealt out by ranges and numbered within their tasks; a task counts from where the tasks before it end. Only
+    the tasks' row counts go to the driver."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    task, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r.task: r["count"] for r in ranged.groupBy(task.alias("task")).count().collect()}
+    before = [0]
+    for k in range(max(sizes, default=-1) + 1):
+        before.append(before[-1] + sizes.get(k, 0))
+    start = F.element_at(F.lit(before).cast("array<bigint>"), task.cast("int") + 1)
+    return ranged.withColumn(name, start + place).drop("_at")
 
 
 def assign_clients(df: DataFrame, clients: int, rows: int) -> DataFrame:

@@ -31,7 +31,9 @@ def profile(samples: DataFrame) -> DataFrame:
 
 def densify(samples: DataFrame, min_index: int, max_index: int, midpoint: float | None = None, intercept: bool = False) -> DataFrame:
     """features as array<double>, rebased by min_index, with 1 at the end for an intercept; labels under midpoint become -1, others 1."""
-    dense = F.transform(F.sequence(F.lit(min_index), F.lit(max_index)), lambda i: F.coalesce(F.try_element_at(F.col("features"), i), F.lit(0.0)))
+    items = lambda m: F.transform(F.sequence(F.lit(min_index), F.lit(max_index)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))
+    # as an array's only member the map is worked out once for a row, not once for an index
+    dense = F.transform(F.array("features"), items)[0]
     dense = F.array_append(dense, F.lit(1.0)) if intercept else dense
     label = F.col("label") if midpoint is None else F.when(F.col("label") < midpoint, -1.0).otherwise(1.0)
     return samples.withColumns({"label": label, "features": dense})
