@@ -11,20 +11,19 @@ Both tables are bounded, the automaton by the vocabulary and the kept pairs and
 
 import json
 import unicodedata
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable, groups, split_words
+from .chunks import ChunkTable, groups, spaced_words
 from .store import bound_batches
 
 #: Pre-tokens of the vocabulary's own pattern. Fixed values of the tokenizer file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Distinct chunks and pre-tokens that a worker keeps.
-KEPT = 450_000
+KEPT = 300_000
 WORD_END = 256
 
 
@@ -199,25 +198,25 @@ class Bpe:
         # a capital sigma is lower-cased without regard to its place
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def _chunks(self, chunks: list[str]) -> list[list[int]]:
-        split = [[] if c in self.special else self.words.findall(c) for c in chunks]
+    def _chunks(self, chunks: list[str]) -> list:
+        """Ids of new chunks; the pre-tokens of those that are not one word are kept, as they stand in many chunks."""
+        split = {c: self.words.findall(c) for c in chunks if not c.isalpha() and c not in self.special}
         if len(self.kept) > KEPT:
             self.kept.clear()
-        self.kept |= self.encode_words(list({w for ws in split for w in ws if w not in self.kept}))
-        return [[self.special[c]] if c in self.special else [i for w in ws for i in self.kept[w]] for c, ws in zip(chunks, split)]
+        self.kept |= self.encode_words(list({w for ws in split.values() for w in ws if w not in self.kept}))
+        single = self.encode_words([c for c in chunks if c.isalpha()])
+        return [single[c] if c in single else [self.special[c]] if c in self.special else [i for w in split[c] for i in self.kept[w]] for c in chunks]
 
-    def chunks(self, text: str) -> list[str]:
-        """What stands between white space, normalized, and special tokens; the vocabulary's pattern matches nothing across them."""
-        split = (lambda p: self.by_space(self.normalize(p))) if self.odd.search(text) else (lambda p: split_words(self.normalize(p)))
+    def spaced(self, text: str) -> str:
+        """The normalized text, its chunks and special tokens between white space; the vocabulary's pattern matches nothing across it."""
+        plain = (lambda p: " ".join(self.by_space(self.normalize(p)))) if self.odd.search(text) else (lambda p: spaced_words(self.normalize(p)))
         if "<|" in text:
-            return [c for p in self.specials.split(text) for c in ([p] if p in self.special else split(p))]
-        return split(text)
+            return " ".join(p if p in self.special else plain(p) for p in self.specials.split(text))
+        return plain(text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """All ids one after another, the border of each text, and the decoded texts."""
-        lists = [self.chunks(t) for t in texts]
-        first = np.cumsum([0, *map(len, lists)])
-        codes = self.table.codes(chain.from_iterable(lists), int(first[-1]))
+        codes, first = self.table.spaced([self.spaced(t) for t in texts])
         ids = self.table.gather(codes)
         borders = np.concatenate([[0], np.cumsum(self.table.length[codes])])[first]
         return ids, borders, self.decode(ids, borders)

@@ -5,6 +5,8 @@ from collections.abc import Callable, Iterable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class _Numbers(dict):
@@ -54,6 +56,16 @@ class ChunkTable:
         self.seen = np.bincount(out, minlength=len(self.length)) + np.concatenate([self.seen, np.zeros(len(self.length) - len(self.seen), np.int64)])
         return out
 
+    def spaced(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the chunks between ASCII white space of all texts, and the border of each text.
+
+        Arrow splits and numbers the chunks of these texts, so that only their distinct ones are looked up here."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        own = lists.flatten().dictionary_encode()
+        names = own.dictionary.to_pylist()
+        codes = self.codes(names, len(names))
+        return codes[own.indices.to_numpy()], lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
     def gather(self, codes: np.ndarray) -> np.ndarray:
         """The sequences of all codes, one after another."""
         length = self.length[codes]
@@ -69,18 +81,19 @@ def _kind(c: str) -> int:
 _KINDS = bytes(_kind(chr(c)) for c in range(256))
 
 
-def split_words(text: str) -> list[str]:
-    """What stands between white space, with commas and periods apart from words where no other sign touches them.
+def spaced_words(text: str) -> str:
+    """The text with ASCII white space alone, and commas and periods apart from words where no other sign touches them.
 
     For vocabularies whose pattern takes runs of letters, single digits and runs of signs: the pre-tokens stay the same,
     while far fewer chunks are distinct."""
     try:
         kinds = text.encode("latin-1").translate(_KINDS)
     except UnicodeEncodeError:
-        return text.split()
+        return " ".join(text.split())
     if b",," in kinds or b",!" in kinds or b"!," in kinds:
-        return text.split()
-    return text.replace(",", " , ").replace(".", " . ").split()
+        return " ".join(text.split())
+    text = text.replace(",", " , ").replace(".", " . ")
+    return text if text.isascii() else text.replace("\xa0", " ").replace("\x85", " ")
 
 
 def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -9,18 +9,19 @@ A file set is a folder of two Parquet tables, so that any store that Spark can w
 shards by ranges of the id column; (shard, block) is the order of the file set.
 """
 
-import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable, groups
+from .bpe import PATTERN, byte_letters
+from .chunks import ChunkTable, groups, spaced_words
 from .store import bound_batches, save, scratch
 
-#: Distinct chunks that a worker keeps.
-KEPT = 500_000
+#: Distinct chunks, and distinct pre-tokens, that a worker keeps.
+KEPT = 700_000
 #: Ids in a block, and in a shard, at least.
 BLOCK_IDS, SHARD_IDS = 1 << 18, 1 << 23
 #: Lengths of the four values behind each control byte.
@@ -52,33 +53,53 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class LibraryEncoder:
-    """Ids of whole texts by the tokenizers library, asked once for each distinct chunk between white space.
+    """Ids of whole texts by the tokenizers library, whose model is asked once for each distinct pre-token.
 
-    Only for vocabularies whose pre-tokens neither cross nor depend on white space."""
+    For vocabularies of lower-case words with PATTERN's pre-tokens, which neither cross nor depend on white space."""
 
     def __init__(self, path: str) -> None:
         import regex
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.model, self.letters = self.library.model, str.maketrans(byte_letters())
+        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.odd = regex.compile("[\x1c-\x1f]")  # white space to str.split() alone
-        self.by_space = regex.compile(r"\P{White_Space}+").findall
-        self.table = ChunkTable(lambda fresh: [e.ids for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)], KEPT)
+        self.by_space, self.pretokens = regex.compile(r"\P{White_Space}+").findall, regex.compile(PATTERN).findall
+        self.kept: dict[str, list[int]] = {}
+        self.table = ChunkTable(self._chunks, KEPT)
+
+    def _chunks(self, chunks: list[str]) -> list:
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        return [self._ids(c) if c.isalpha() else self._pieces(c) for c in chunks]
+
+    def _ids(self, word: str) -> list[int]:
+        plain = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(plain)]
+
+    def _pieces(self, chunk: str) -> list[int]:
+        """Ids of a chunk that is not one word; its pre-tokens are kept, as they stand in many chunks."""
+        if chunk in self.special:
+            return [self.special[chunk]]
+        out: list[int] = []
+        for word in self.pretokens(chunk):
+            own = self.kept.get(word)
+            if own is None:
+                own = self.kept[word] = self._ids(word)
+            out += own
+        return out
+
+    def _spaced(self, text: str) -> str:
+        """The normalized text, its chunks between single spaces or other ASCII white space."""
+        spaced = (lambda p: " ".join(self.by_space(p))) if self.odd.search(text) else spaced_words
+        plain = lambda p: spaced(p.lower() if p.isascii() else unicodedata.normalize("NFC", p).replace("Σ", "σ").lower())
+        return " ".join(p if p in self.special else plain(p) for p in self.specials(text)) if self.specials and "<|" in text else plain(text)
 
     def encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text's followed by end, and the border of each text."""
-        lists = []
-        for text in texts:
-            split = self.by_space if self.odd.search(text) else str.split
-            lists.append([c for p in self.special.split(text) for c in split(p)] if self.special and self.special.search(text) else split(text))
-        first = np.cumsum([0, *map(len, lists)])
-        codes = self.table.codes((c for x in lists for c in x), int(first[-1]))
+        codes, first = self.table.spaced([self._spaced(t) for t in texts])
         ids = self.table.gather(codes)
         borders = np.concatenate([[0], np.cumsum(self.table.length[codes])])[first]
         if end is not None:
@@ -107,7 +128,7 @@ def encode_ids(docs: DataFrame, path: str, end: int | None, width: str = "<u4",
                 ids, borders = _open[path].encode(texts[i:j], end)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(borders), pa.int64()), _column(ids.astype(width), borders)], ["id", "n", "ids"])
 
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 1024)  # larger batches hold fewer distinct chunks for their size
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(kernel, "id long, n long, ids binary")
 
 
