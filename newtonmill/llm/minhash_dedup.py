@@ -121,7 +121,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> D
             last = b[-1] if b else last
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (a, b)], ["a", "b"])
 
-    bound_batches(pairs.sparkSession, 256)
+    bound_batches(pairs.sparkSession)
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(kernel, "a long, b long").distinct()
@@ -129,7 +129,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> D
 
 def _dealt(members: DataFrame, by: str, size: str) -> DataFrame:
     """Every pair of blocks (lo, hi) of each group `by` gets the rows of both; a group has a block for each BLOCK rows or BLOCK_BYTES of `size`."""
-    groups = members.groupBy(by).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(size) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    # a table of its own, so that Spark can split a hot group's rows in the join
+    groups = save(members.groupBy(by).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(size) / BLOCK_BYTES)).cast("int").alias("blocks")))
     dealt = members.join(groups, by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks", size)
