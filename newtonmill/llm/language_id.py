@@ -114,13 +114,13 @@ def text_scores(docs: DataFrame, languages: list[str], table: np.ndarray, *keep:
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str, text_col: str, declared_col: str | None = None, suffix_col: str | None = None, host_col: str | None = None) -> DataFrame:
     """(id_col, language, probability, text_language, kept) of each row of docs.
 
-    text_language is by the text alone, language by all evidence; kept says that it is not `und`. An absent or null
-    declaration, suffix or host is no evidence. Null texts and texts without letters are `und`. Rows are handled one by
+    text_language is by the text alone, language by all evidence; kept says that it is not `und`. An absent, null
+    or empty declaration, suffix or host is no evidence. Null texts and texts without letters are `und`. Rows are handled one by
     one, so repeated or null ids do no harm; other columns are not looked at.
     """
     languages, table = model
     n = len(languages)
-    some = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
+    some = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), some(declared_col).alias("declared"), some(suffix_col).alias("suffix"), some(host_col).alias("host"))
     scored = save(text_scores(rows, languages, table, *map(F.col, ("id", "declared", "suffix", "host"))))
     told = scored.where("n_letters > 0").select("declared", "suffix", "host", F.col("by_text").alias("p"))

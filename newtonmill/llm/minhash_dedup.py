@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = save(components(links))
 
     # a node's family: the least hub that it or its hubs have met
-    first = pairs.groupBy("a").agg(F.min("b").alias("family"))
+    first = save(pairs.groupBy("a").agg(F.min("b").alias("family")))
     second = pairs.join(first.select(F.col("a").alias("b"), F.col("family").alias("further")), "b", "left").groupBy("a").agg(F.min(F.least("b", F.coalesce("further", "b"))).alias("family"))
     family = second.unionAll(pairs.select("b", "b")).groupBy(F.col("a").alias("node")).agg(F.min("family").alias("family"))
     known = save(buckets.select("node").distinct().join(joined, "node", "left").join(family, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("family", "node").alias("family")))

@@ -1,38 +1,16 @@
-"""Shared scratch tables: how every operator here cuts lineage and re-reads its own results.
+"""Scratch tables, by which every operator here cuts lineage, and the bounds of Arrow batches."""
 
-Tables go to the folder in spark.checkpoint.dir, which all executors and the driver share, so a lost
-executor costs only its running tasks. Where the setting is absent and Spark is local (tests), a
-temporary folder takes its place; elsewhere its absence is an error.
-"""
+from pyspark.sql import SparkSession
 
-import tempfile
-import uuid
+from ..scratch import save, scratch
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["bound_batches", "save", "scratch"]
 
 #: Limits of one Arrow batch between the JVM and Python; both bound the memory of a kernel.
 BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared scratch folder."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or getattr(scratch, "local", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = scratch.local = tempfile.mkdtemp(prefix="newtonmill-")
-    return f"{root.rstrip('/')}/newtonmill-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, *partitions: str) -> DataFrame:
-    """df written to the scratch folder and read again: computed once, with no lineage behind it."""
-    spark, schema, path = df.sparkSession, df.schema, scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keeps Arrow batches small, by rows and, where this Spark has the setting, by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
