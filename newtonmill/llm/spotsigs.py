@@ -2,8 +2,9 @@
 
 An anchor is a common word or a run of them; the next two content words after it make a chain, and anchor and chain are
 a spot signature. A text's fingerprint is its set of signatures, hashed: a change touches the signatures near it and no
-others, and navigation or boilerplate, poor in common words, gives few. A text with very few signatures also has one
-for each content word with its anchors; a text without words has its own hash.
+others, and navigation or boilerplate, poor in common words, gives few. Each content word with its anchors is a member
+too, in texts of every size, so that any two texts are compared by the same kinds of members, also lists without common
+words; a text without words has its own hash.
 
 Fingerprints are compared by the Jaccard similarity of their sets. A search for near duplicates first partitions the
 sets by length: sets whose lengths differ by more than the threshold allows cannot match, and neither can sets that
@@ -27,8 +28,6 @@ ANCHORS = (
 #: Ids in one bucket of neighbours, and buckets that one task puts in order.
 NEIGHBOURS, ORDERED = 256, 1 << 16
 LOWEST = -(1 << 62)
-#: Signatures below which a text's content words count too.
-FEW = 8
 
 
 def _alternatives(words: list[str]) -> str:
@@ -48,9 +47,8 @@ def signatures(text: Column) -> Column:
     none = F.array().cast("array<long>")
     anchored = lambda u: F.instr(u, " ") < F.length(u)
     spot = lambda u, v: F.when(v.isNotNull() & anchored(u), F.xxhash64(u, F.substring_index(v, " ", -2)))
-    spots = lambda units: F.array_sort(F.array_distinct(F.array_compact(F.zip_with(units, F.slice(units, 2, F.greatest(F.size(units), F.lit(1))), spot))))
-    with_words = lambda units, found: F.array_sort(F.array_distinct(F.concat(found, F.transform(units, lambda u: F.xxhash64(u)))))
-    chosen = lambda units: _let(spots(units), lambda found: F.when((F.size(found) >= FEW) | (F.size(units) == 0), found).otherwise(with_words(units, found)))
+    spots = lambda units: F.array_compact(F.zip_with(units, F.slice(units, 2, F.greatest(F.size(units), F.lit(1))), spot))
+    chosen = lambda units: F.array_sort(F.array_distinct(F.concat(spots(units), F.transform(units, lambda u: F.xxhash64(u)))))
     # a unit is a content word with the anchors before it; anchors at the end are no unit
     plain = F.concat(F.ltrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+", " ")), F.lit(" "))
     units = F.regexp_extract_all(plain, F.lit(f"(?:(?:{_alternatives(ANCHORS)}) )*+[^ ]+ +"), F.lit(0))

@@ -127,6 +127,16 @@ def test_edits_and_neighbours(spark):
     assert found[8].fingerprint == found[9].fingerprint
 
 
+@pytest.mark.parametrize(("own", "after"), [(7, 30), (8, 0), (7, 0), (8, 30)])
+def test_edits_across_seven_and_eight_signatures(spark, own, after):
+    """A list of plain words with `own` anchored pairs behind it; its edited text has `after` pairs instead, or about as many."""
+    pairs = lambda n, c: "".join(f"the {c}{k} {c}{c}{k} " for k in range(n))
+    text = "".join(f"item{k} " for k in range(30)) + pairs(own, "x")
+    found = {r.doc_id: r for r in compare_with_edits(cases.frame(spark, [(1, text), (2, pairs(after, "y") or "".join(f"thing{k} " for k in range(40)))])).collect()}
+    assert len(found[1].fingerprint.split(",")) == own + 30 + 2 * own
+    assert found[1].near_edited > 0.2 and found[1].near_next == 0
+
+
 def test_rows_that_share_an_id_or_have_none(spark):
     found = compare_with_edits(cases.frame(spark, [(None, "a b"), (1, "c d"), (1, "c d"), (400, "e f"), (10**15, "g")])).collect()
     assert sorted((r.doc_id or -1, r.n_chars) for r in found) == [(-1, 3), (1, 3), (1, 3), (400, 3), (10**15, 1)]
