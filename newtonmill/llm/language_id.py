@@ -7,7 +7,8 @@ language, and how the languages spread over hosts. A host's prior is smoothed to
 one towards that of all rows; a host with few rows thus says little by itself.
 
 Besides the sample's languages there is `und`, with letters in no order at all; it wins for gibberish, and a text
-without letters is `und` without further question.
+without letters is `und` without further question. A text whose letters make no trigram says nothing by itself and is
+left to the other evidence.
 """
 
 import math
@@ -84,7 +85,7 @@ def fit(labelled: DataFrame, label_col: str, text_col: str, id_col: str, sample:
 
 
 def text_scores(docs: DataFrame, languages: list[str], table: np.ndarray, *keep: Column) -> DataFrame:
-    """The columns kept, n_letters (trigrams with letters), scores (weighted log likelihoods by language) and by_text (posteriors by the text alone). docs: text in column `text`."""
+    """The columns kept, n_trigrams (those with letters), scores (weighted log likelihoods by language) and by_text (posteriors by the text alone). docs: text in column `text`."""
     sent = docs.sparkSession.sparkContext.broadcast(table)  # BINS values for each language
     kept = docs.select(*keep)
     columns = kept.columns
@@ -104,26 +105,29 @@ def text_scores(docs: DataFrame, languages: list[str], table: np.ndarray, *keep:
             told = np.exp(sums + flat - (sums + flat).max(axis=1, keepdims=True))
             told /= told.sum(axis=1, keepdims=True)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(table)), pa.int32()), pa.array(x.reshape(-1))) for x in (sums, told)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(n, pa.int64()), *lists], [*columns, "n_letters", "scores", "by_text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(n, pa.int64()), *lists], [*columns, "n_trigrams", "scores", "by_text"])
 
     bound_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select(*keep, F.col("text")).mapInArrow(kernel, f"{schema}, n_letters long, scores array<double>, by_text array<double>")
+    return docs.select(*keep, F.col("text")).mapInArrow(kernel, f"{schema}, n_trigrams long, scores array<double>, by_text array<double>")
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str, text_col: str, declared_col: str | None = None, suffix_col: str | None = None, host_col: str | None = None) -> DataFrame:
     """(id_col, language, probability, text_language, kept) of each row of docs.
 
     text_language is by the text alone, language by all evidence; kept says that it is not `und`. An absent, null
-    or empty declaration, suffix or host is no evidence. Null texts and texts without letters are `und`. Rows are handled one by
-    one, so repeated or null ids do no harm; other columns are not looked at.
+    or empty declaration, suffix or host is no evidence. Null texts and texts without letters are `und`; text_language is
+    also where the letters make no trigram. Rows are handled one by one, so repeated or null ids do no harm; other columns are not looked at.
     """
     languages, table = model
     n = len(languages)
     some = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), some(declared_col).alias("declared"), some(suffix_col).alias("suffix"), some(host_col).alias("host"))
-    scored = save(text_scores(rows, languages, table, *map(F.col, ("id", "declared", "suffix", "host"))))
-    told = scored.where("n_letters > 0").select("declared", "suffix", "host", F.col("by_text").alias("p"))
+    heard = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("heard")
+    scored = save(text_scores(rows, languages, table, *map(F.col, ("id", "declared", "suffix", "host")), heard))
+    # a text without trigrams adds nothing, but its host is listed and so has its suffix's prior
+    silent = F.array(*(F.lit(0.0) for _ in range(n)))
+    told = scored.where("heard").select("declared", "suffix", "host", F.when(F.col("n_trigrams") > 0, F.col("by_text")).otherwise(silent).alias("p"))
     sums = [F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(n)]
     # posteriors are summed before the shuffle, so a host with a third of all rows is one row for each task
     by_host = save(told.groupBy("suffix", "host").agg(*sums))
@@ -148,11 +152,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str,
     fused = F.array(*(F.col("scores")[k] + F.log(prior[k] + 1e-12) + F.log(likely[k] + 1e-12) for k in range(n)))
     names = F.array(*map(F.lit, languages))
     best = lambda p: names[F.array_position(p, F.array_max(p)).cast("int") - 1]
-    out = joined.select("id", (F.col("n_letters") > 0).alias("heard"), "by_text", fused.alias("fused"))
+    out = joined.select("id", "heard", (F.col("n_trigrams") > 0).alias("spelt"), "by_text", fused.alias("fused"))
     top = F.array_max("fused")
     share = 1 / F.aggregate("fused", F.lit(0.0), lambda total, x: total + F.exp(x - top))
     told = lambda c, silent: F.when(F.col("heard"), c).otherwise(silent)
-    out = out.select("id", told(best(F.col("fused")), UNKNOWN).alias("language"), F.round(told(share, 1.0), 6).alias("probability"), told(best(F.col("by_text")), UNKNOWN).alias("text_language"))
+    out = out.select("id", told(best(F.col("fused")), UNKNOWN).alias("language"), F.round(told(share, 1.0), 6).alias("probability"), F.when(F.col("heard") & F.col("spelt"), best(F.col("by_text"))).otherwise(UNKNOWN).alias("text_language"))
     return out.withColumn("kept", F.col("language") != UNKNOWN).withColumnRenamed("id", id_col)
 
 

@@ -125,6 +125,20 @@ def test_evidence_helps_where_text_is_short(spark):
     assert identify(df.limit(0), model, "doc_id", "text").count() == 0
 
 
+def test_texts_too_short_for_a_trigram_go_by_other_evidence(spark):
+    rng = random.Random(3)
+    long = [(i, shuffled(rng, lang, 50), lang, f"{lang}.example") for i, lang in enumerate(list(SENTENCES) * 40)]
+    model = fit(spark.createDataFrame(long, "doc_id long, text string, lang string, host string"), "lang", "text", "doc_id")
+    short = [(i, text, lang, f"{lang}.example") for i, (text, lang) in enumerate([(t, x) for t in ("A.", "a", "é", "ab", "I") for x in SENTENCES], 900)]
+    none = [(990, "1.", "en", "en.example"), (991, "§", "fr", "fr.example"), (992, "—…—", "de", "de.example"), (993, " ", "en", None)]
+    df = spark.createDataFrame(long + short + none, "doc_id long, text string, declared string, host string")
+    by = {r.doc_id: r for r in identify(df, model, "doc_id", "text", declared_col="declared", host_col="host").collect()}
+    assert len(by) == len(df.collect())
+    for i, _, lang, _ in short:
+        assert (by[i].language, by[i].kept, by[i].text_language) == (lang, True, "und") and by[i].probability < 1
+    assert all((by[i].language, by[i].kept) == ("und", False) for i, *_ in none)
+
+
 def test_page_evidence(spark):
     pages = [(1, "http://u:p@WWW.Site.FR:80/x", "<html lang='fr'><script>the the</script><p>le temps&nbsp;beau</p><!-- no -->"), (2, None, None), (3, "nonsense", "plain")]
     got = {r.page_id: r for r in page_parts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
