@@ -15,16 +15,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .store import bound_batches, save
 
 U = np.uint64
-#: Labelled rows in the sample, at most.
-SAMPLE = 3000
-#: Hashed letter trigrams, and the count that each starts with.
+#: Labelled rows of the whole table in the sample, about, and of each label at least, if it has them.
+SAMPLE, OF_LABEL = 3000, 200
+#: Hashed letter trigrams, and the count that each starts with, less for a label with fewer trigrams than bins.
 BINS, START = 1 << 15, 0.2
 #: Trigrams overlap and follow each other, so they count for less than independent ones.
 WEIGHT = 1 / 3
@@ -57,12 +57,19 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(labelled: DataFrame, label_col: str, text_col: str, id_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, and log likelihoods by bin and language, from the whole texts of at most `sample` labelled rows, chosen by a hash of their ids."""
+    """Languages, and log likelihoods by bin and language, from the whole texts of about `sample` labelled rows, chosen by a hash of their ids.
+
+    A label has at least OF_LABEL rows in the sample, or all of its own, so none is absent because it is rare.
+    """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).where("label is not null and text is not null and id is not null")
-    # only ids under a bound that about twice as many pass are put in order, so tasks send few rows however many they are
-    share = min(1.0, 2 * sample / max(1, rows.count()))
-    few = rows.select("id").where(F.shiftrightunsigned(F.xxhash64("id"), 2) <= int(share * (1 << 62)))
-    chosen = [r[0] for r in few.orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
+    # only ids under a label's bound, that about twice as many pass as it needs, are put in order, so tasks send few rows however many they are
+    sizes = save(rows.groupBy("label").agg(F.count("*").alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 1
+    wanted = sizes.select("label", F.greatest(F.lit(OF_LABEL), F.ceil(F.col("n") * (sample / total))).alias("wanted"), "n")
+    hashed = F.shiftrightunsigned(F.xxhash64("id"), 2)
+    few = rows.select("id", "label").join(F.broadcast(wanted), "label").where(hashed <= F.least(F.lit(1.0), (2 * F.col("wanted") + 30) / F.col("n")) * float(1 << 62))
+    ordered = few.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))).where("rank <= wanted")
+    chosen = save(ordered.select("id", "label").distinct())
 
     def kernel(batches):
         for batch in batches:
@@ -75,12 +82,15 @@ def fit(labelled: DataFrame, label_col: str, text_col: str, id_col: str, sample:
 
     bound_batches(labelled.sparkSession)
     # at most BINS rows for each language
-    counts = rows.where(F.col("id").isin(chosen)).select("label", "text").mapInArrow(kernel, "label string, bin long, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect()
+    counts = rows.join(F.broadcast(chosen), ["id", "label"]).select("label", "text").mapInArrow(kernel, "label string, bin long, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.label for r in counts})
-    table = np.full((len(languages) + 1, BINS), START)
-    table[-1] = 1.0
+    place = {label: k for k, label in enumerate(languages)}
+    table = np.zeros((len(languages) + 1, BINS))
     for r in counts:
-        table[languages.index(r.label), r.bin] += r.n
+        table[place[r.label], r.bin] += r.n
+    # the start counts of few trigrams would make a label as likely as `und` for letters in no order
+    table += START * np.minimum(1.0, table.sum(axis=1, keepdims=True) / BINS)
+    table[-1] = 1.0
     return [*languages, UNKNOWN], np.log(table / table.sum(axis=1, keepdims=True))
 
 

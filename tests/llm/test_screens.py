@@ -139,6 +139,20 @@ def test_texts_too_short_for_a_trigram_go_by_other_evidence(spark):
     assert all((by[i].language, by[i].kept) == ("und", False) for i, *_ in none)
 
 
+def test_rare_labels_get_a_model_row(spark):
+    """Far fewer rows in the sample than one in a label's share."""
+    rng = random.Random(5)
+    rare = ["η θάλασσα ήταν ήρεμη και το χωριό κοιμόταν κάτω από τα δέντρα", "τα δέντρα και η θάλασσα κάτω από το χωριό"]
+    made = [(i, shuffled(rng, lang, 30), lang) for i, lang in enumerate(list(SENTENCES) * 300)] + [(5000 + i, t, "el") for i, t in enumerate(rare)]
+    odd = [(6000, "zqxj qzxw jjqz xzqv wqjx vzzq " * 9, None), (6001, "το χωριό κοιμόταν", "el")]
+    df = spark.createDataFrame(made + odd, "doc_id long, text string, lang string")
+    model = fit(df, "lang", "text", "doc_id", sample=30)
+    assert model[0] == ["de", "el", "en", "fr", "und"]
+    by = {r.doc_id: r for r in identify(df, model, "doc_id", "text", declared_col="lang").collect()}
+    assert [by[i].language for i in (5000, 5001, 6000, 6001)] == ["el", "el", "und", "el"]
+    assert sum(by[i].language == lang for i, _, lang in made) >= 0.97 * len(made)
+
+
 def test_page_evidence(spark):
     pages = [(1, "http://u:p@WWW.Site.FR:80/x", "<html lang='fr'><script>the the</script><p>le temps&nbsp;beau</p><!-- no -->"), (2, None, None), (3, "nonsense", "plain")]
     got = {r.page_id: r for r in page_parts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
