@@ -1,12 +1,12 @@
-"""Substring removal: passages of at least `length` words that an earlier document has too, by level-wise doubling.
+"""Substring removal: passages of at least `length` words that an earlier document has too, by one doubling of windows.
 
-The first level has windows of half the length, the next the whole length; windows repeated at one level alone are
+The first of two levels has windows of half the length, the other the whole length; windows repeated at one level alone are
 extended to the next. Not every half window is looked at: each window of the whole length elects the half window in it
 with the least hash, its anchor, so equal windows elect equal anchors and one anchor in a dozen words suffices. The
 windows of a document that share an anchor are a span. An anchor that two documents have is a candidate, and its spans
 are extended together: a span that an earlier document has word for word is settled without looking at its windows.
-Only at the edges of repeats, where the spans of one anchor differ, are windows compared one by one. Then no
-candidates are left, for a longer repeat consists of windows of this length.
+Only at the edges of repeats, where the spans of one anchor differ, are windows compared one by one. No
+longer windows are looked at, for a longer repeat consists of windows of this length.
 
 Every count is taken before a shuffle, so a passage that a third of all documents share is one row for each task.
 """
