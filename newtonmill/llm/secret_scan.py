@@ -26,11 +26,19 @@ KEYWORDS = {
     "access": ("AKIA",),
     "github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
     "npm": ("npm_",),
-    "card": ("card", "visa", "iban"),
+    "card": ("card", "visa"),
+    "iban": ("iban",),
 }
 CHECKED = r"(?:gh[pousr]|npm)_[0-9A-Za-z]{36}(?![0-9A-Za-z])"
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 CARD = r"[A-Za-z]+\D{0,16}?(?<!\d)(\d(?:[ -]?\d){12,18})(?!\d)"
+#: Letters of a country and check digits, at most NEAR characters after the keyword; the lengths of all countries that have account numbers. Fixed values.
+IBAN, NEAR = r"(?<![0-9A-Za-z])[A-Za-z]{2}[0-9]{2}", 16
+IBAN_LENGTHS = {c: n for n, of in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in of.split()}
 
 
 def base62(n: int, width: int) -> str:
@@ -55,6 +63,10 @@ def luhn_holds(digits: str) -> bool:
     return total % 10 == 0
 
 
+def mod97_holds(number: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
+
+
 class Scanner:
     def __init__(self) -> None:
         import ahocorasick
@@ -69,6 +81,8 @@ class Scanner:
         self.assign = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
         self.access, self.hex = re.compile(ACCESS), re.compile(HEX)
         self.checked, self.card = re.compile(CHECKED), re.compile(CARD)
+        self.iban = re.compile(IBAN)
+        self.rest = {n: re.compile(rf"(?:[ -]?[0-9A-Za-z]){{{n - 4}}}(?![0-9A-Za-z])") for n in IBAN_LENGTHS.values()}
         # lower-cases A-Z alone, so that places stay
         self.fold = {c: c + 32 for c in range(65, 91)}
 
@@ -96,6 +110,13 @@ class Scanner:
                 if (m := self.card.match(text, start)) and luhn_holds(re.sub(r"\D", "", m[1])):
                     over[kind] = m.end()
                     found.append((kind, m.start(1), m.end(1), m.start(1), m.end(1)))
+            elif kind == "iban":
+                for head in self.iban.finditer(text, start + 4, start + 4 + NEAR + 4):
+                    n = IBAN_LENGTHS.get(head[0][:2].upper())
+                    if n and (m := self.rest[n].match(text, head.end())) and mod97_holds(re.sub("[ -]", "", text[head.start() : m.end()])):
+                        over[kind] = m.end()
+                        found.append((kind, head.start(), m.end(), head.start(), m.end()))
+                        break
             elif (m := self.checked.match(text, start)) and checksum_holds(m[0]):
                 over[kind] = m.end()
                 found.append((kind, start, m.end(), start, m.end()))

@@ -38,6 +38,19 @@ def test_checksums_decide():
     assert S.luhn_holds("79927398713") and not S.luhn_holds("79927398710")
 
 
+def test_account_numbers_are_checked_by_mod_97():
+    said = lambda t: [(s[0], t[s[1] : s[2]]) for s in S.scanner().spans(t)]
+    good = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606", "NO93 8601 1117 947", "nl91-abna-0417-1643-00"]
+    for number in good:
+        assert said(f"my IBAN no.: {number}, thanks") == said(f"iban {number} for rent 12") == [("iban", number)], number
+        wrong = number[:-1] + ("1" if number[-1] != "1" else "2")
+        assert said(f"iban {wrong}.") == said(f"iban {number}7") == said(number) == []
+    # 18 of the 20 digits pass the Luhn test, the whole does not pass mod 97
+    by_chance = next(t for k in range(100) if S.luhn_holds((t := f"89 3704 0044 0532 01{k:02d}").replace(" ", "")))
+    assert said(f"iban DE{by_chance} 01") == []
+    assert S.redacted("iban " + good[0] + ".", S.scanner().spans("iban " + good[0] + ".")) == "iban [secret]."
+
+
 def test_secret_rows_and_redaction(spark):
     data = [(1, None), (2, ""), (3, "é password = hunter22 end"), (None, "AKIA" + "A" * 16), (3, "é password = hunter22 end"), (4, "a" * 23), (5, "0" * 24)]
     found = S.secret_digest(cases.frame(spark, data)).collect()
