@@ -22,8 +22,8 @@ from . import words as W
 from .store import bound_batches, save
 
 U = np.uint64
-#: Labelled rows of the whole table in the sample, about, and of each label at least, if it has them.
-SAMPLE, OF_LABEL = 3000, 200
+#: Labelled texts of the whole table in the sample, about, and of each label at least, if it has them; labels at most.
+SAMPLE, OF_LABEL, MOST = 3000, 200, 512
 #: Hashed letter trigrams, and the count that each starts with, less for a label with fewer trigrams than bins.
 BINS, START = 1 << 15, 0.2
 #: Trigrams overlap and follow each other, so they count for less than independent ones.
@@ -56,20 +56,29 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bins.astype(np.int64), kept[np.minimum(offsets, len(inside))]
 
 
-def fit(labelled: DataFrame, label_col: str, text_col: str, id_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, and log likelihoods by bin and language, from the whole texts of about `sample` labelled rows, chosen by a hash of their ids.
+def fit(labelled: DataFrame, label_col: str, text_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """Languages, and log likelihoods by bin and language, from about `sample` distinct labelled texts, chosen by a hash of the text.
 
-    A label has at least OF_LABEL rows in the sample, or all of its own, so none is absent because it is rare.
+    A label has at least OF_LABEL texts in the sample, or all of its own, so none is absent because it is rare. Equal
+    texts count once however many rows hold them, and ids are not looked at, so repeated or absent ids change nothing.
+    Rows without label or text are left out; without any labelled text the one language is `und`. More than MOST
+    labels are refused, as the model has BINS values for each.
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).where("label is not null and text is not null and id is not null")
-    # only ids under a label's bound, that about twice as many pass as it needs, are put in order, so tasks send few rows however many they are
-    sizes = save(rows.groupBy("label").agg(F.count("*").alias("n")))
-    total = sizes.agg(F.sum("n")).first()[0] or 1
-    wanted = sizes.select("label", F.greatest(F.lit(OF_LABEL), F.ceil(F.col("n") * (sample / total))).alias("wanted"), "n")
-    hashed = F.shiftrightunsigned(F.xxhash64("id"), 2)
-    few = rows.select("id", "label").join(F.broadcast(wanted), "label").where(hashed <= F.least(F.lit(1.0), (2 * F.col("wanted") + 30) / F.col("n")) * float(1 << 62))
-    ordered = few.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))).where("rank <= wanted")
-    chosen = save(ordered.select("id", "label").distinct())
+    rows = labelled.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).where("label is not null and text is not null")
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    keys = save(rows.groupBy("label", "text_key").agg(F.count("*").alias("copies")))
+    sizes = keys.groupBy("label").agg(F.count("*").alias("n"))
+    found = sizes.limit(MOST + 1).collect()
+    if len(found) > MOST:
+        raise ValueError(f"more than {MOST} labels in column {label_col}")
+    total = sum(r.n for r in found) or 1
+    wanted = {r.label: max(OF_LABEL, math.ceil(r.n * sample / total)) for r in found}
+    # Spark keeps the first `most` of a label in each task before rows move
+    most = max(wanted.values(), default=1)
+    ranked = keys.select("label", "text_key", F.row_number().over(Window.partitionBy("label").orderBy("text_key")).alias("rank")).where(F.col("rank") <= most)
+    limits = labelled.sparkSession.createDataFrame(list(wanted.items()), "label string, wanted long")
+    chosen = save(ranked.join(F.broadcast(limits), "label").where("rank <= wanted").select("label", "text_key"))  # sample + MOST * OF_LABEL rows at most
+    picked = rows.join(F.broadcast(chosen), ["label", "text_key"]).groupBy("label", "text_key").agg(F.min("text").alias("text"))
 
     def kernel(batches):
         for batch in batches:
@@ -82,7 +91,7 @@ def fit(labelled: DataFrame, label_col: str, text_col: str, id_col: str, sample:
 
     bound_batches(labelled.sparkSession)
     # at most BINS rows for each language
-    counts = rows.join(F.broadcast(chosen), ["id", "label"]).select("label", "text").mapInArrow(kernel, "label string, bin long, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect()
+    counts = picked.select("label", "text").mapInArrow(kernel, "label string, bin long, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.label for r in counts})
     place = {label: k for k, label in enumerate(languages)}
     table = np.zeros((len(languages) + 1, BINS))
@@ -95,7 +104,11 @@ def fit(labelled: DataFrame, label_col: str, text_col: str, id_col: str, sample:
 
 
 def text_scores(docs: DataFrame, languages: list[str], table: np.ndarray, *keep: Column) -> DataFrame:
-    """The columns kept, n_trigrams (those with letters), scores (weighted log likelihoods by language) and by_text (posteriors by the text alone). docs: text in column `text`."""
+    """The columns kept, n_trigrams (those with letters), scores (weighted log likelihoods by language) and by_text (posteriors by the text alone).
+
+    docs: text in column `text`. Null and empty texts, and those without letters, have no trigrams, scores of 0 and the
+    flat prior as posterior. Rows are handled one by one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(table)  # BINS values for each language
     kept = docs.select(*keep)
     columns = kept.columns
@@ -127,7 +140,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str,
 
     text_language is by the text alone, language by all evidence; kept says that it is not `und`. An absent, null
     or empty declaration, suffix or host is no evidence. Null texts and texts without letters are `und`; text_language is
-    also where the letters make no trigram. Rows are handled one by one, so repeated or null ids do no harm; other columns are not looked at.
+    also where the letters make no trigram. A model without languages calls every row `und` and keeps those with letters,
+    as it has nothing to reject them by. Rows are handled one by one, so repeated or null ids do no harm; other columns
+    are not looked at.
     """
     languages, table = model
     n = len(languages)
@@ -166,12 +181,17 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str,
     top = F.array_max("fused")
     share = 1 / F.aggregate("fused", F.lit(0.0), lambda total, x: total + F.exp(x - top))
     told = lambda c, silent: F.when(F.col("heard"), c).otherwise(silent)
-    out = out.select("id", told(best(F.col("fused")), UNKNOWN).alias("language"), F.round(told(share, 1.0), 6).alias("probability"), F.when(F.col("heard") & F.col("spelt"), best(F.col("by_text"))).otherwise(UNKNOWN).alias("text_language"))
-    return out.withColumn("kept", F.col("language") != UNKNOWN).withColumnRenamed("id", id_col)
+    out = out.select("id", "heard", told(best(F.col("fused")), UNKNOWN).alias("language"), F.round(told(share, 1.0), 6).alias("probability"), F.when(F.col("heard") & F.col("spelt"), best(F.col("by_text"))).otherwise(UNKNOWN).alias("text_language"))
+    out = out.withColumn("kept", F.col("language") != UNKNOWN if n > 1 else F.col("heard"))
+    return out.select(F.col("id").alias(id_col), "language", "probability", "text_language", "kept")
 
 
 def page_parts(pages: DataFrame) -> DataFrame:
-    """(page_id, text, declared, suffix, host) of raw web pages: visible text, declared markup language, address suffix and host."""
+    """(page_id, text, declared, suffix, host) of raw web pages: visible text, declared markup language, address suffix and host.
+
+    A null page has an empty text; what the markup does not declare or the address does not have is null. Rows are
+    handled one by one, and other columns are not looked at.
+    """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>|&[#\w]+;", " ")
     host = F.nullif(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))

@@ -65,13 +65,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, identify
 
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, fit(docs, "lang", "text", "doc_id"), "doc_id", "text", declared_col="lang", host_col="source")
+    return identify(docs, fit(docs, "lang", "text"), "doc_id", "text", declared_col="lang", host_col="source")
 
 
 def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, identify, page_parts
 
-    model = fit(table(spark, sf_dir, "documents"), "lang", "text", "doc_id")
+    model = fit(table(spark, sf_dir, "documents"), "lang", "text")
     return identify(page_parts(table(spark, sf_dir, "pages")), model, "page_id", "text", "declared", "suffix", "host")
 
 

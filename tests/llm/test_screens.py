@@ -1,14 +1,17 @@
 import hashlib
 import json
+import math
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from newtonmill.llm import chat_format as C
 from newtonmill.llm import secret_scan as S
 from newtonmill.llm.decontaminate import contaminated, decontaminate
 from newtonmill.llm.language_id import fit, identify, page_parts
+from newtonmill.llm.queries import QUERIES
 
 from . import cases
 
@@ -116,7 +119,7 @@ def test_held_out_languages(spark):
     rng = random.Random(1)
     made = [(i, shuffled(rng, lang, rng.randint(5, 60)), lang) for i, lang in enumerate(list(SENTENCES) * 60)]
     df = spark.createDataFrame(made, "doc_id long, text string, lang string")
-    model = fit(df.where("doc_id < 90"), "lang", "text", "doc_id", sample=60)
+    model = fit(df.where("doc_id < 90"), "lang", "text", sample=60)
     assert model[0] == ["de", "en", "fr", "und"]
     found = {r.doc_id: r for r in identify(df.where("doc_id >= 90"), model, "doc_id", "text").collect()}
     right = [found[i].language == lang == found[i].text_language for i, _, lang in made if i >= 90]
@@ -126,7 +129,7 @@ def test_held_out_languages(spark):
 def test_evidence_helps_where_text_is_short(spark):
     rng = random.Random(2)
     long = [(i, shuffled(rng, lang, 50), lang, f"{lang}.example") for i, lang in enumerate(list(SENTENCES) * 40)]
-    model = fit(spark.createDataFrame(long, "doc_id long, text string, lang string, host string"), "lang", "text", "doc_id")
+    model = fit(spark.createDataFrame(long, "doc_id long, text string, lang string, host string"), "lang", "text")
     odd = [(900, "village", "fr", "fr.example"), (901, "village", "en", "en.example"), (902, "12 34 !!", "en", "en.example"), (903, None, "en", None), (904, "", None, None), (905, "zqxj qzxw jjqz xzqv wqjx vzzq " * 9, None, None), (None, "the river and the village", None, None), (906, "le dîner", "fr", "fr.example"), (906, "le dîner", "fr", "fr.example")]
     df = spark.createDataFrame(long + odd, "doc_id long, text string, declared string, host string").selectExpr("doc_id", "text", "declared", "host", "1 as id", "2 as prior", "3 as scores")
     found = identify(df, model, "doc_id", "text", declared_col="declared", host_col="host").collect()
@@ -141,7 +144,7 @@ def test_evidence_helps_where_text_is_short(spark):
 def test_texts_too_short_for_a_trigram_go_by_other_evidence(spark):
     rng = random.Random(3)
     long = [(i, shuffled(rng, lang, 50), lang, f"{lang}.example") for i, lang in enumerate(list(SENTENCES) * 40)]
-    model = fit(spark.createDataFrame(long, "doc_id long, text string, lang string, host string"), "lang", "text", "doc_id")
+    model = fit(spark.createDataFrame(long, "doc_id long, text string, lang string, host string"), "lang", "text")
     short = [(i, text, lang, f"{lang}.example") for i, (text, lang) in enumerate([(t, x) for t in ("A.", "a", "é", "ab", "I") for x in SENTENCES], 900)]
     none = [(990, "1.", "en", "en.example"), (991, "§", "fr", "fr.example"), (992, "—…—", "de", "de.example"), (993, " ", "en", None)]
     df = spark.createDataFrame(long + short + none, "doc_id long, text string, declared string, host string")
@@ -159,13 +162,114 @@ def test_rare_labels_get_a_model_row(spark):
     made = [(i, shuffled(rng, lang, 30), lang) for i, lang in enumerate(list(SENTENCES) * 300)] + [(5000 + i, t, "el") for i, t in enumerate(rare)]
     odd = [(6000, "zqxj qzxw jjqz xzqv wqjx vzzq " * 9, None), (6001, "το χωριό κοιμόταν", "el")]
     df = spark.createDataFrame(made + odd, "doc_id long, text string, lang string")
-    model = fit(df, "lang", "text", "doc_id", sample=30)
+    model = fit(df, "lang", "text", sample=30)
     assert model[0] == ["de", "el", "en", "fr", "und"]
     by = {r.doc_id: r for r in identify(df, model, "doc_id", "text", declared_col="lang").collect()}
     assert [by[i].language for i in (5000, 5001, 6000, 6001)] == ["el", "el", "und", "el"]
     assert sum(by[i].language == lang for i, _, lang in made) >= 0.97 * len(made)
 
 
+def likelihoods(model, text):
+    """Weighted log likelihoods of a text by language, and how many trigrams it has, one trigram at a time."""
+    classes = [0] * 256
+    for b in range(256):
+        classes[b] = b - 96 if 97 <= b < 123 else b - 64 if 65 <= b < 91 else b - 101 if b >= 128 else 0
+    data = [classes[b] for b in (text or "").encode()]
+    n, sums = 0, [0.0] * len(model[0])
+    for three in zip(data, data[1:], data[2:]):
+        code = (three[0] * 155 + three[1]) * 155 + three[2]
+        if code:
+            n += 1
+            bin_ = code * 0x9E3779B1 % (1 << 32) >> 17
+            sums = [s + row[bin_] / 3 for s, row in zip(sums, model[1])]
+    return sums, n
+
+
+def softmax(x):
+    e = [math.exp(v - max(x)) for v in x]
+    return [v / sum(e) for v in e]
+
+
+def fused(model, rows):
+    """(language, probability, text_language) of (text, declared, suffix, host) rows, by plain loops."""
+    names, k = model[0], len(model[0])
+    flat = [math.log((1 - 1e-3) / max(1, k - 1))] * (k - 1) + [math.log(1e-3)]
+    scored = []
+    for text, *evidence in rows:
+        sums, n = likelihoods(model, text)
+        scored.append((bool(re.search(r"[^\W\d_]", text or "")), n, sums, softmax([s + f for s, f in zip(sums, flat)]), [e or None for e in evidence]))
+    told = [(p if n else [0.0] * k, e) for heard, n, _, p, e in scored if heard]
+    add = lambda ps: [sum(p[j] for p in ps) for j in range(k)]
+    base = [s + 1 / k for s in add([p for p, _ in told])]
+    base = [b / sum(base) for b in base]
+    smooth = lambda own, above: [(o + 20 * a) / (sum(own) + 20) for o, a in zip(own, above)]
+    above = {s: smooth(add([p for p, e in told if e[1] == s]), base) for s in {e[1] for _, e in told if e[1]}}
+    prior = {(s, h): smooth(add([p for p, e in told if (e[1], e[2]) == (s, h)]) if h else [0.0] * k, above.get(s, base)) for s, h in {(e[1], e[2]) for _, e in told}}
+    said = {d: add([p for p, e in told if e[0] == d]) for d in {e[0] for _, e in told if e[0]}}
+    whole = add(said.values())
+    likely = {d: [(s + b) / (w + 1) for s, b, w in zip(own, base, whole)] for d, own in said.items()}
+    out = []
+    for heard, n, sums, by_text, (d, s, h) in scored:
+        if not heard:
+            out.append(("und", 1.0, "und"))
+            continue
+        p = [x + math.log(a + 1e-12) + math.log(b + 1e-12) for x, a, b in zip(sums, prior[s, h], likely.get(d, [1.0] * k))]
+        out.append((names[p.index(max(p))], max(softmax(p)), names[by_text.index(max(by_text))] if n else "und"))
+    return out
+
+
+def test_fused_evidence_equals_plain_loops(spark):
+    """The registered queries over `documents` and `pages`, row by row."""
+    docs, pages = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "pages"))
+    model = fit(docs, "lang", "text")
+    cases_of = {"op8_language_id": ("doc_id", docs.selectExpr("doc_id as id", "text", "lang", "cast(null as string)", "source")), "page_language": ("page_id", page_parts(pages).selectExpr("page_id as id", "text", "declared", "suffix", "host"))}
+    for name, (key, rows) in cases_of.items():
+        rows = rows.collect()
+        found = {r[key]: r for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+        assert len(found) == len(rows)
+        for r, (language, share, by_text) in zip(rows, fused(model, [tuple(r)[1:] for r in rows])):
+            got = found[r.id]
+            assert (got.language, got.text_language, got.kept) == (language, by_text, language != "und"), r
+            assert got.probability == pytest.approx(share, abs=2e-6)
+    assert any(r.suffix for r in page_parts(pages).collect())
+
+
+def test_held_out_documents(spark):
+    """Text alone, fitted on a half of the documents, names the language of the other half."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[A-Za-z]{3}'")
+    model = fit(docs.where("doc_id % 2 = 0"), "lang", "text")
+    found = identify(docs.where("doc_id % 2 = 1"), model, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id").selectExpr("avg(cast(text_language = lang as int))").first()[0]
+    assert found >= 0.99
+
+
+@pytest.mark.parametrize("ids", [3, 1, 0])
+def test_repeated_and_absent_ids_lose_no_language(spark, ids):
+    """Many rows with few ids, or none: every language has its model, and every row is kept."""
+    lines = {k: [shuffled(random.Random(f"{k}{j}"), k, 30) for j in range(40)] for k in SENTENCES}
+    by_lang = F.create_map(*[x for k, v in lines.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    names = sorted(lines)
+    df = spark.range(60_000).select((F.col("id") % ids if ids else F.lit(None)).cast("long").alias("doc_id"), F.array(*map(F.lit, names))[(F.col("id") % 3).cast("int")].alias("lang"), (F.col("id") % 40).cast("int").alias("k"))
+    df = df.select("doc_id", by_lang[F.col("lang")][F.col("k")].alias("text"), "lang", F.lit("s").alias("source"))
+    model = fit(df, "lang", "text")
+    assert model[0] == [*names, "und"]
+    found = identify(df, model, "doc_id", "text", declared_col="lang", host_col="source").groupBy("language", "kept").count().collect()
+    assert sorted(map(tuple, found)) == [(k, True, 20_000) for k in names]
+
+
+def test_without_labels_nothing_is_rejected(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
+    found = {r.doc_id: (r.language, r.kept) for r in identify(df, fit(df, "lang", "text"), "doc_id", "text", declared_col="lang").collect()}
+    assert found == {1: ("und", True), 2: ("und", False), 3: ("und", False)}
+
+
+def test_too_many_labels_are_refused(spark, monkeypatch):
+    from newtonmill.llm import language_id
+
+    monkeypatch.setattr(language_id, "MOST", 2)
+    with pytest.raises(ValueError, match="labels"):
+        fit(spark.createDataFrame([(k, "a b c") for k in "xyz"], "lang string, text string"), "lang", "text")
+
+
 def test_page_evidence(spark):
     pages = [(1, "http://u:p@WWW.Site.FR:80/x", "<html lang='fr'><script>the the</script><p>le temps&nbsp;beau</p><!-- no -->"), (2, None, None), (3, "nonsense", "plain")]
     got = {r.page_id: r for r in page_parts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
