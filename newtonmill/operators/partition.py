@@ -1,16 +1,18 @@
 """Samples dealt out to clients: equal contiguous shares of an ordered or shuffled table, checks and unions."""
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import save
+
 
 def row_index(df: DataFrame, *order: Column | str, name: str = "sample_id") -> DataFrame:
     """df with each row's place in the order given, from 0, without bringing all rows to one task.
 
     Rows are dealt out by ranges and numbered within their tasks; a task counts from where the tasks before it end. Only
-    the tasks' row counts go to the driver."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    the tasks' row counts go to the driver. The places are saved to the shared scratch folder before they are counted, so a
+    lost executor or a tie in the order cannot change them between count and use."""
+    ranged = save(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     task, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = {r.task: r["count"] for r in ranged.groupBy(task.alias("task")).count().collect()}
     before = [0]
