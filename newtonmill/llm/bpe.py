@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkTable, groups, spaced_words
-from .store import bound_batches
+from .store import small
 
 #: Pre-tokens of the vocabulary's own pattern. Fixed values of the tokenizer file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -246,7 +246,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def kernel(batches):
         bpe = opened(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in groups(texts):
                 ids, borders, decoded = bpe.encode(texts[i:j])
@@ -255,7 +255,6 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     ["id", "n_tokens", "ids", "decoded"],
                 )
 
-    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(kernel, f"id {kind}, n_tokens long, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bound_batches, save
+from .store import save, small
 
 #: The control strings. A turn is OPEN role MIDDLE text CLOSE.
 OPEN, MIDDLE, CLOSE = "<s>[INST]", "[/INST]", "</s>"
@@ -99,7 +99,7 @@ def turns_of_records(records: DataFrame, id_col: str, json_col: str) -> DataFram
     """(conv_id, turn, role, text) from one JSON record a row, by the layout of each; a record that is null, is not an object or has an unknown layout gives no turns."""
 
     def kernel(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
@@ -110,7 +110,6 @@ def turns_of_records(records: DataFrame, id_col: str, json_col: str) -> DataFram
                 out += [(i, k, role, body) for k, (role, body) in enumerate(found or ())]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["conv_id", "turn", "role", "text"])
 
-    bound_batches(records.sparkSession)
     return records.select(F.col(id_col).cast("long"), F.col(json_col).cast("string")).mapInArrow(kernel, "conv_id long, turn long, role string, text string")
 
 
@@ -142,7 +141,7 @@ def format_chat(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
         def row():
             return pa.RecordBatch.from_pydict({"conv_id": [conv], "part": [part], "text": ["".join(pieces)], "loss": [loss]}, schema=PARTS)
 
-        for batch in batches:
+        for batch in small(batches):
             for c, role, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if started and (c != conv or size >= PART):
                     yield row()
@@ -156,7 +155,6 @@ def format_chat(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
         if started:
             yield row()
 
-    bound_batches(turns.sparkSession)
     filled = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return _in_order(filled, "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(kernel, "conv_id long, part int, text string, loss array<struct<start:int,end:int>>")
 
@@ -188,7 +186,7 @@ def chat_digest(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pydict({"conv_id": pa.array([conv], pa.int64()), "n_turns": [s["n"]], "turns_sha256": [s["turns"].hexdigest()], "loss_chars": [s["loss"]], "loss_sha256": [s["masked"].hexdigest()], "formatted_chars": [s["chars"]]})
 
         s = fresh()
-        for batch in batches:
+        for batch in small(batches):
             for c, text, loss in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if started and c != conv:
                     yield row()
@@ -205,7 +203,6 @@ def chat_digest(formatted: DataFrame) -> DataFrame:
         if started:
             yield row()
 
-    bound_batches(formatted.sparkSession)
     return _in_order(formatted, "part").select("conv_id", "text", "loss").mapInArrow(kernel, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import bound_batches
+from .store import small
 
 U = np.uint64
 #: Bytes of item texts in one block.
@@ -107,13 +107,12 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, shingle:
     kind = docs.schema[id_col].dataType.simpleString()
     out = None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    bound_batches(spark)
     for block in blocks(items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("words")), "item", "words"):
         sent = spark.sparkContext.broadcast(block)
 
         def kernel(batches, sent=sent):
             table = Items([i for i, _ in sent.value], [t for _, t in sent.value], percent, shingle)
-            for batch in batches:
+            for batch in small(batches):
                 found = table.matches(W.scan(batch.column(1), fold=True))
                 size = [len(table.sets[i]) for _, i, _ in found]
                 yield pa.RecordBatch.from_arrays(
@@ -131,14 +130,13 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, shingle:
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose text holds no item, by the rule of contaminated(); all columns stay."""
     spark = docs.sparkSession
-    bound_batches(spark)
     text = F.col(text_col).cast("string")
     for block in blocks(items.select(F.col("item_id").alias("item"), F.col("text").alias("words")), "item", "words"):
         sent = spark.sparkContext.broadcast(block)
 
         def kernel(batches, sent=sent, place=docs.columns.index(text_col)):
             table = Items([i for i, _ in sent.value], [t for _, t in sent.value], percent, shingle)
-            for batch in batches:
+            for batch in small(batches):
                 held = {t for t, _, _ in table.matches(W.scan(batch.column(place), fold=True))}
                 yield batch.filter(pa.array([i not in held for i in range(batch.num_rows)], pa.bool_()))
 

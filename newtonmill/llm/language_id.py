@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import bound_batches, save
+from .store import save, small
 
 U = np.uint64
 #: Labelled texts of the whole table in the sample, about, and of each label at least, if it has them; labels at most.
@@ -81,7 +81,7 @@ def fit(labelled: DataFrame, label_col: str, text_col: str, sample: int = SAMPLE
     picked = rows.join(F.broadcast(chosen), ["label", "text_key"]).groupBy("label", "text_key").agg(F.min("text").alias("text"))
 
     def kernel(batches):
-        for batch in batches:
+        for batch in small(batches):
             labels = batch.column(0).to_pylist()
             bins, borders = trigrams(batch.column(1))
             for i, label in enumerate(labels):
@@ -89,7 +89,6 @@ def fit(labelled: DataFrame, label_col: str, text_col: str, sample: int = SAMPLE
                 at = np.flatnonzero(found)
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(found[at], pa.int64())], ["label", "bin", "n"])
 
-    bound_batches(labelled.sparkSession)
     # at most BINS rows for each language
     counts = picked.select("label", "text").mapInArrow(kernel, "label string, bin long, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.label for r in counts})
@@ -116,7 +115,7 @@ def text_scores(docs: DataFrame, languages: list[str], table: np.ndarray, *keep:
 
     def kernel(batches):
         table = sent.value
-        for batch in batches:
+        for batch in small(batches):
             bins, borders = trigrams(batch.column(len(columns)))
             n = np.diff(borders)
             sums = np.zeros((batch.num_rows, len(table)))
@@ -130,7 +129,6 @@ def text_scores(docs: DataFrame, languages: list[str], table: np.ndarray, *keep:
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(table)), pa.int32()), pa.array(x.reshape(-1))) for x in (sums, told)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(n, pa.int64()), *lists], [*columns, "n_trigrams", "scores", "by_text"])
 
-    bound_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return docs.select(*keep, F.col("text")).mapInArrow(kernel, f"{schema}, n_trigrams long, scores array<double>, by_text array<double>")
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .graph import components
-from .store import bound_batches, save
+from .store import save, small
 
 U = np.uint64
 #: MinHash samples, all of which enter the odd sketch; the first BANDS * ROWS also make the bands.
@@ -70,10 +70,10 @@ def most_differing_bits(threshold: float) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, n_shingles, set_a, set_b, bands, sketch) of each row; set_a and set_b hash the shingle set. Sets without members have no bands."""
+    """(id, text_key, n_shingles, set_a, set_b, bands, sketch) of each row; set_a and set_b hash the shingle set. Sets without members have no bands."""
 
     def kernel(batches):
-        for batch in batches:
+        for batch in small(batches):
             sets = W.shingle_sets(W.scan(batch.column(1), fold=True), shingle)
             whole = [(W.whole(s), W.whole(W.mix(s))) for s in sets]
             least = [samples(s) if len(s) else None for s in sets]
@@ -84,17 +84,18 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array([a for a, _ in whole], U).view(np.int64), pa.int64()),
                     pa.array(np.array([b for _, b in whole], U).view(np.int64), pa.int64()),
                     lists(band_keys, BANDS),
                     lists(odd_sketch, LONGS),
                 ],
-                ["id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                ["id", "text_key", "n_shingles", "set_a", "set_b", "bands", "sketch"],
             )
 
-    bound_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(kernel, "id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long"), text, F.xxhash64(text)).mapInArrow(kernel, "id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>")
 
 
 def _differing(a: str, b: str) -> Column:
@@ -107,7 +108,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> D
 
     def kernel(batches):
         last, held = None, None
-        for batch in batches:
+        for batch in small(batches):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             left = W.shingle_sets(W.scan(batch.column(2), fold=True), shingle)
             fresh = [i for i, x in enumerate(b) if x != (b[i - 1] if i else last)]
@@ -121,7 +122,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> D
             last = b[-1] if b else last
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (a, b)], ["a", "b"])
 
-    bound_batches(pairs.sparkSession)
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(kernel, "a long, b long").distinct()
@@ -196,7 +196,7 @@ def _across(members: DataFrame, worst: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = 5) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) for each row of docs.
+    """(id_col, n_shingles, component_id, kept, text_key) for each row of docs; text_key is the xxhash64 of its text.
 
     Documents are linked where 100 * intersection >= percent * union of their sets of `shingle`-word shingles;
     component_id is the least id that links reach, kept says that it is the row's own. Rows that share an id are
@@ -234,5 +234,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = nodes.join(joined, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("c"))
     ids = save(ids)
     # rows that share an id but not a text are one document
-    doc = signed.join(ids, ["set_a", "set_b"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
-    return doc.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    doc = signed.join(ids, ["set_a", "set_b"], "left").select("id", "text_key", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
+    return doc.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key")

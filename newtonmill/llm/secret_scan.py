@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bound_batches
+from .store import small
 
 #: The kinds that need no checksum, in their order. Fixed values.
 BASE = ("assign", "access", "hex")
@@ -169,7 +169,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         scan = scanner()
         names = ["kind", "start", "end", "secret_start", "secret_end"]
         kind = pa.list_(pa.struct([("kind", pa.string()), *((n, pa.int32()) for n in names[1:])]))
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             found = [scan.spans(t) if t else [] for t in texts]
             out = [batch.column(0), pa.array([[dict(zip(names, s)) for s in x] for x in found], kind)]
@@ -177,7 +177,6 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append(pa.array([redacted(t, x) for t, x in zip(texts, found)], pa.string()))
             yield pa.RecordBatch.from_arrays(out, ["id", "spans", "text"][: len(out)])
 
-    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(kernel, f"id {kind}, spans {SPAN}" + ", text string" * redact)
     return out.withColumnRenamed("id", id_col)
@@ -199,11 +198,10 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def kernel(batches):
         scan = scanner()
-        for batch in batches:
+        for batch in small(batches):
             texts = [redacted(t, scan.spans(t)) if t else t for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(batch.num_columns)], batch.schema.names)
 
-    bound_batches(docs.sparkSession)
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     return docs.mapInArrow(kernel, docs.schema)
 

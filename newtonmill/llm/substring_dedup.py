@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import bound_batches, save
+from .store import save, small
 
 U = np.uint64
 RANGES = "array<struct<at:int,n:int,open:boolean,anchor:long>>"
@@ -41,7 +41,7 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
     half = -(-length // 2)
 
     def kernel(batches):
-        for batch in batches:
+        for batch in small(batches):
             words = W.scan(batch.column(2))
             h, owner = W.runs(words.hashes, half), np.repeat(np.arange(len(words)), np.diff(words.first))
             width, total = length - half + 1, len(words.hashes) - length + 1
@@ -64,7 +64,6 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
                 ["id", "key", "at", "n", "anchor", "span"],
             )
 
-    bound_batches(docs.sparkSession)
     return docs.where("id is not null").mapInArrow(kernel, "id long, key long, at int, n int, anchor long, span long")
 
 
@@ -74,7 +73,7 @@ def _strip(docs: DataFrame, length: int) -> DataFrame:
     def kernel(batches):
         import hashlib
 
-        for batch in batches:
+        for batch in small(batches):
             data, borders = W.text_bytes(batch.column(2))
             data, ranges = data.tobytes(), batch.column(3).to_pylist()
             n_words, n_removed, sha, text, windows = [], [], [], [], []
@@ -104,7 +103,6 @@ def _strip(docs: DataFrame, length: int) -> DataFrame:
                 ["id", "key", "n_words", "n_removed", "kept_sha256", "text", "ranges", "windows"],
             )
 
-    bound_batches(docs.sparkSession)
     return docs.select("id", "key", "text", "ranges").mapInArrow(kernel, f"id long, key long, n_words long, n_removed long, kept_sha256 string, text string, ranges {RANGES}, windows array<struct<anchor:long,at:int,hash:long>>")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkTable, groups, per_text
-from .store import bound_batches
+from .store import small
 
 #: The pattern of the byte-level vocabulary's pre-tokens. A fixed value of the tokenizer file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -93,13 +93,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     def kernel(batches):
         if path not in _open:
             _open[path] = PieceCounter(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in groups(texts):
                 n = _open[path].counts(texts[i:j])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n, pa.int64()), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
-    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col), text, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))

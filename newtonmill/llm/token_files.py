@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .bpe import PATTERN, byte_letters
 from .chunks import ChunkTable, groups, spaced_words
-from .store import bound_batches, save, scratch
+from .store import drop, limits, save, scratch, small
 
 #: Distinct chunks, and distinct pre-tokens, that a worker keeps.
 KEPT = 700_000
@@ -122,13 +122,12 @@ def encode_ids(docs: DataFrame, path: str, end: int | None, width: str = "<u4",
     def kernel(batches):
         if path not in _open:
             _open[path] = LibraryEncoder(path)
-        for batch in batches:
+        for batch in small(batches, 1024):  # larger batches hold fewer distinct chunks for their size
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in groups(texts):
                 ids, borders = _open[path].encode(texts[i:j], end)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(borders), pa.int64()), _column(ids.astype(width), borders)], ["id", "n", "ids"])
 
-    bound_batches(docs.sparkSession, 1024)  # larger batches hold fewer distinct chunks for their size
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(kernel, "id long, n long, ids binary")
 
 
@@ -137,7 +136,7 @@ def ranks_by_frequency(encoded: DataFrame, width: str = "<u4") -> np.ndarray:
 
     def kernel(batches):
         counts = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             for ids in batch.column(0):
                 one = np.bincount(np.frombuffer(ids.as_buffer(), width))
                 if len(one) > len(counts):
@@ -158,7 +157,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int | None =
     """
     spark = docs.sparkSession
     width = "<u2" if max(LibraryEncoder(path).library.get_vocab_size(), (end or 0) + 1) <= 1 << 16 else "<u4"
-    encoded = save(encode_ids(docs, path, end, width, id_col, text_col))
+    encoded = save(encode_ids(docs, path, end, width, id_col, text_col), 1024)
     order = ranks_by_frequency(encoded, width)
     rank = np.zeros(int(order.max(initial=-1)) + 1, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -180,7 +179,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int | None =
             return pa.RecordBatch.from_pydict(row, schema=BLOCKS)
 
         size = 0
-        for batch in batches:
+        for batch in small(batches):
             for i, n, ids in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 held.append((i, n, ids))
                 size += n
@@ -190,9 +189,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int | None =
         if held:
             yield flush()
 
-    bound_batches(spark)
     blocks = encoded.repartitionByRange(shards, "id").sortWithinPartitions("id", F.xxhash64("ids")).mapInArrow(kernel, "shard int, block int, at long, n long, docs array<long>, lengths array<long>, control binary, data binary")
-    blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    with limits(spark):
+        blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    drop(encoded)
     spark.createDataFrame(enumerate(order.tolist()), "rank long, token long").coalesce(1).write.parquet(f"{folder}/ranks")
 
 
@@ -208,13 +208,12 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -
     shards = blocks.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
 
     def kernel(batches):
-        for batch in batches:
+        for batch in small(batches, 8):
             for base, at, n, docs, lengths, control, data in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 ids = tokens.value[unpack(control, data, n)] if n else np.zeros(0, np.uint32)
                 borders = np.cumsum([0, *lengths])
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(base + at + borders[:-1], pa.int64()), pa.array(lengths, pa.int64()), _column(ids.astype("<u4"), borders)], ["id", "start", "n_tokens", "ids"])
 
-    bound_batches(spark, 8)
     return blocks.join(shards, "shard").select("base", "at", "n", "docs", "lengths", "control", "data").mapInArrow(kernel, "id long, start long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 
 

@@ -51,6 +51,30 @@ def test_stages_keep_the_columns_and_awkward_rows(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_repeated_rows_and_shared_ids(spark):
+    """Of equal rows one stays; a row is not lost because another with its id is a copy."""
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long), (1, long), (2, long + " more"), (2, "quite another text that nothing else is near to"), (2, "quite another text that nothing else is near to"), (None, long), (None, long), (3, ""), (3, ""), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    key = lambda x: (x[0] or 0, x[1] or "")
+    assert sorted(kept, key=key) == sorted([(1, long), (2, rows[3][1]), (None, long), (None, long), (3, ""), (3, ""), (4, None)], key=key)
+
+
+def test_few_ids_lose_no_document(spark):
+    rows = [(k % 3, f"the house of number {k} and the road to the town by the river of stones {k * k}", "en", "s", 1) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.language(spark, docs, SF).count() == 3000
+
+
+def test_the_session_keeps_its_settings(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for q in ("op6_token_files", "op8_language_id", "op2_substring_dedup", "op9_chat_format"):
+        QUERIES[q](spark, SF).count()
+        assert spark.conf.get(name) == before
+
+
 def test_ten_queries_are_registered():
     assert {int(n[2:].split("_")[0]) for n in QUERIES if re.match(r"op\d+_", n)} == set(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "benchmark", "secrets", "tokenize"]
