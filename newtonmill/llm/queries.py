@@ -81,6 +81,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted_digest(table(spark, sf_dir, "conversations"))
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import records_digest
+
+    return records_digest(table(spark, sf_dir, "conversations"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import secret_digest
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "page_language": page_language,
     "op9_chat_format": op9_chat_format,
+    "chat_layouts": chat_layouts,
     "op10_secret_scan": op10_secret_scan,
 }
 
@@ -106,6 +113,10 @@ FOLDED = WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
 #: Runs of n words of a list w, as texts.
 GRAMS = "unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' ')))"
 
+CHAT = """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations{more})
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(20 + length(replace(replace(replace(role || text, chr(92), 'xx'), '<', 'xx'), '[', 'xx')))::BIGINT AS formatted_chars FROM t GROUP BY conv_id"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": f"""WITH RECURSIVE d AS (SELECT doc_id, w, least(len(w), 5) AS n FROM (SELECT doc_id, {FOLDED} AS w FROM documents) t),
   s AS (SELECT DISTINCT doc_id, {GRAMS} AS s FROM d WHERE n > 0), c AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
@@ -123,7 +134,6 @@ ORACLE_SQL: dict[str, str] = {
   d AS (SELECT doc_id, w, n FROM (SELECT doc_id, {FOLDED} AS w FROM documents) t, (SELECT DISTINCT n FROM i WHERE n > 0)), b AS (SELECT DISTINCT doc_id, n, {GRAMS} AS s FROM d WHERE len(w) >= n),
   c AS (SELECT item_id, count(*) AS n_item FROM a GROUP BY item_id), m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM a JOIN b ON a.n = b.n AND a.s = b.s GROUP BY ALL)
   SELECT doc_id, m.item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN c ON c.item_id = m.item_id WHERE 100*n_shared >= 75*n_item""",
-    "op9_chat_format": """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
-  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(20 + length(replace(replace(replace(role || text, chr(92), 'xx'), '<', 'xx'), '[', 'xx')))::BIGINT AS formatted_chars FROM t GROUP BY conv_id""",
+    "op9_chat_format": CHAT.format(more=" UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'"),
+    "chat_layouts": CHAT.format(more=""),
 }

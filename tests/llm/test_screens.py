@@ -283,14 +283,35 @@ def test_layouts_become_the_same_turns(spark):
         {"prompt": "Why?", "completion": "So."}, {"response": "So.", "prompt": "Why?"}, {"question": "Why?", "answer": "So."}, {"instruction": "Why?", "output": "So."},
         {"instruction": "Why?", "input": "", "output": "So."}, {"messages": [{"role": "user", "content": "Why?"}, {"role": "assistant", "content": "So."}]},
         {"conversations": [{"from": "human", "value": "Why?"}, {"from": "gpt", "value": "So."}]}, {"turns": [{"text": "Why?", "role": "user"}, {"role": "bot", "text": "So."}]},
+        {"id": 7, "meta": {"a": [1], "role": None}, "prompt": "Why?", "completion": "So.", "name": None}, {"prompt": "Why?", "response": "So.", "system": None},
+        {"messages": [{"role": "user", "content": "Why?", "name": "x"}, {"role": "assistant", "content": "So.", "weight": None}]}, {"instruction": "Why?", "input": None, "output": "So."},
     ]
     for r in records:
         assert C.canonical_turns(r) == want, r
     assert C.canonical_turns({"instruction": "a", "input": "b", "output": "c"})[0] == ("user", "a\n\nb")
-    assert C.canonical_turns({"other": 1}) is None
-    rows = [(i, json.dumps(r)) for i, r in enumerate(records)] + [(90, None), (91, "[1]"), (92, "{broken"), (93, '{"a": 1}')]
-    turns = C.turns_of_records(spark.createDataFrame(rows, "k long, j string"), "k", "j").collect()
-    assert sorted((t.conv_id, t.turn, t.role, t.text) for t in turns) == sorted((i, k, *x) for i in range(len(records)) for k, x in enumerate(want))
+    assert C.canonical_turns({"prompt": "a", "response": 1.5, "system": "be"}) == [("system", "be"), ("user", "a"), ("assistant", "1.5")]
+    assert C.canonical_turns({"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": None}, {"role": "assistant"}, {"content": "x"}]}) == [("user", "hi"), ("assistant", ""), ("assistant", ""), ("", "x")]
+    assert C.canonical_turns({"messages": [{"role": "user"}]}) == [("user", "")] and C.canonical_turns({"messages": []}) == []
+    assert C.canonical_turns({"other": 1}) is C.canonical_turns({"messages": [{"role": "user", "content": [{"text": "part"}]}]}) is C.canonical_turns({"prompt": {"a": "b"}, "response": "c"}) is None
+    odd = [(90, None, "no record"), (91, "[1]", "not an object"), (92, "{broken", "not JSON"), (93, '{"a": 1}', "unknown layout"), (94, "", "no record"), (95, '{"turns": []}', "no turns"), (96, '{"a":' * 200_000, "nested too deep"), (97, '{"a":' * 400 + "1" + "}" * 400, "unknown layout"), (98, '{"messages": ["hi"]}', "unknown layout"), (99, "{}", "unknown layout")]
+    rows = [(i, json.dumps(r)) for i, r in enumerate(records)] + [(i, t) for i, t, _ in odd] + [(60, r'{"prompt": "\ud800 é", "response": "\ud83d\ude00"}')]
+    df = spark.createDataFrame(rows, "k long, j string").selectExpr("*", "1 as turn")
+    turns = C.turns_of_records(df, "j", "k").collect()
+    assert sorted((t.k, t.turn, t.role, t.text) for t in turns if t.k < 60) == sorted((i, k, *x) for i in range(len(records)) for k, x in enumerate(want))
+    assert sorted((t.k, t.reason) for t in turns if t.reason) == [(i, why) for i, _, why in odd] and all(t.turn is t.text is None for t in turns if t.reason)
+    assert [t.text for t in sorted(turns, key=lambda t: t.turn or 0) if t.k == 60] == ["\ufffd é", "\U0001f600"]
+    assert C.turns_of_records(df.limit(0), "j", "k").count() == 0
+
+
+def test_records_of_every_layout(spark):
+    """The conversations, as JSON records of nine layouts, give the digests of the plain rows."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    more = spark.createDataFrame([(7000, 0, None, None), (7000, None, "user", "x"), (7001, 5, "assistant", "\\ <s>\u2028"), (None, 0, "user", "q"), (None, 1, "assistant", "a"), (None, 1, "assistant", "a")], rows.schema)
+    rows = rows.unionByName(more)
+    layouts = {C.fingerprint(C.field_paths(json.loads(r.record))) for r in C.records_of_turns(rows).collect()}
+    assert len(layouts) == 9
+    key = lambda df: sorted(map(str, df.where("conv_id is null or conv_id >= 0").collect()))
+    assert key(C.records_digest(rows)) == key(C.formatted_digest(rows))
 
 
 @pytest.mark.parametrize("part", [1, 40, 1 << 20])
