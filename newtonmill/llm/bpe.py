@@ -9,7 +9,6 @@ before it goes on from their common prefix.
 Both tables are bounded, the automaton by the vocabulary and the kept pairs and pre-tokens by a parameter.
 """
 
-import json
 import unicodedata
 
 import numpy as np
@@ -17,11 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable, groups, spaced_words
+from .chunks import WORDS, ChunkTable, groups, spaced_words, vocabulary_spec
 from .store import small
 
-#: Pre-tokens of the vocabulary's own pattern. Fixed values of the tokenizer file.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Distinct chunks and pre-tokens that a worker keeps.
 KEPT = 300_000
 WORD_END = 256
@@ -85,7 +82,7 @@ class Bpe:
     def __init__(self, path: str) -> None:
         import regex
 
-        spec = json.load(open(path, encoding="utf-8"))
+        spec = vocabulary_spec(path, "word")
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
@@ -110,7 +107,7 @@ class Bpe:
             self.at.setdefault(self.automaton.state(s), []).append((len(s), i))
         self.chains: dict[int, tuple[tuple[int, int], ...]] = {0: (), -1: ()}
         self.beside: dict[int, bool] = {}
-        self.words = regex.compile(PATTERN)
+        self.words = regex.compile(WORDS)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.odd = regex.compile("[\x1c-\x1f]")  # white space to str.split() alone
         self.by_space = regex.compile(r"\P{White_Space}+").findall
@@ -158,6 +155,8 @@ class Bpe:
         def step(c: int, i: int) -> tuple[int, int, int]:
             s, n = states[i], matched[i]
             while c not in moves[s]:
+                if not s:
+                    raise ValueError("a symbol is not in the vocabulary")
                 s = link[s]
                 n = lens[s]
             s, n = moves[s][c], n + 1

@@ -1,5 +1,6 @@
 """Texts as numbered chunks: what is worked out once per distinct chunk serves every text by table lookup."""
 
+import json
 import unicodedata
 from collections.abc import Callable, Iterable
 from itertools import chain
@@ -9,6 +10,30 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: Rules of the two kinds of vocabulary files that operators here take apart. Fixed values of the tokenizer files.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+RULES = {
+    "word": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}, _BYTES | {"use_regex": False}]},
+        "</w>",
+    ),
+    "byte": (None, _BYTES | {"use_regex": True}, None),
+}
+
+
+def vocabulary_spec(path: str, kind: str) -> dict:
+    """The contents of a tokenizers file, whose normalizer, pre-tokens, word ends and special strings must be those that this package works by."""
+    spec = json.load(open(path, encoding="utf-8"))
+    model = spec["model"]
+    own = (spec["normalizer"], spec["pre_tokenizer"], model.get("end_of_word_suffix"))
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if own != RULES[kind] or not plain or any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path} is no {kind} vocabulary with the rules expected here")
+    return spec
+
+
 class _Numbers(dict):
     """Numbers keys as they come and lists the new ones."""
 

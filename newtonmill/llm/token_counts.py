@@ -1,9 +1,11 @@
-"""Token counts without token ids: pieces are counted once per distinct pre-token, then summed by how often it occurs.
-
-A pre-token's number of pieces does not depend on what stands around it. Each task numbers the distinct chunks of its
-texts (dictionary encoding), counts the pieces of their distinct pre-tokens with the library, joins the counts to the
-texts' chunks by number and sums. The dictionary stays in the worker from batch to batch and is bounded, so nothing is
-shuffled or broadcast; a shuffle of pre-tokens and their frequencies would move more than the texts themselves.
+"""Token counts without token ids: pieces are counted once per distinct pre-token, joined to documents' frequencies and summed.
+
+A pre-token's number of pieces does not depend on what stands around it. Texts are taken apart in blocks of bounded
+size: a block has a list of its distinct pre-tokens, and for each document how often it has which of them, by their
+places in the list. The distinct pre-tokens of all blocks are a table, each counted once with the library. The counts are
+joined back to the blocks' lists, and each block sums frequencies times counts. What is shuffled are the lists, which are
+far smaller than the texts as a block names each pre-token once, and the packed frequencies; nothing is broadcast, and no
+group is larger than a block.
 """
 
 import os
@@ -11,95 +13,169 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable, groups, per_text
-from .store import small
+from .chunks import vocabulary_spec
+from .store import save, small
+from .token_files import pack, unpack
 
-#: The pattern of the byte-level vocabulary's pre-tokens. A fixed value of the tokenizer file.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct chunks and pre-tokens that a worker keeps.
-KEPT = 300_000
+#: The pattern of the byte-level vocabulary's pre-tokens, white space being what Unicode calls so. A fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: Two characters of white space in a row, as RE2 says it, or the mark below.
+DOUBLE = r"[\s\x0b\x{85}\p{Z}]{2}|\x00"
 #: Marks a text's first chunk, before which no space stands.
 FIRST = "\0"
+#: Bytes of text in a block, at least, unless a task has fewer.
+BLOCK_BYTES = 8 << 20
 
 
-class PieceCounter:
-    """Counts of one byte-level vocabulary file of the tokenizers library."""
+class PreTokens:
+    """Takes texts apart into the pre-tokens of one byte-level vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
         import regex
 
+        self.special = {t["content"] for t in vocabulary_spec(path, "byte")["added_tokens"]}
+        names = "|".join(map(regex.escape, sorted(self.special)))
+        self.of = regex.compile(PATTERN).findall
+        self.split = regex.compile(f"({names})").split if names else lambda t: [t]
+        self.apart = DOUBLE + f"|{names}" * bool(names)
+
+    def whole(self, text: str) -> list[str]:
+        """The pre-tokens of any text; the special strings in it are pre-tokens of their own."""
+        return [w for part in self.split(text) for w in ([part] if part in self.special else self.of(part))]
+
+    def chunk(self, c: str) -> list[str]:
+        """The pre-tokens of a chunk between single spaces, with the space before it."""
+        if c.isalpha():
+            return [" " + c]
+        return self.of(c[1:] if c[:1] == FIRST else c if c[:1] == "\n" else " " + c)
+
+    def block(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct pre-tokens of some texts, and for all occurrences the text and the pre-token's place in that list."""
+        places: dict[str, int] = {}
+        place = lambda w: places.setdefault(w, len(places))
+        apart = pc.match_substring_regex(texts, self.apart).to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(~apart & (pc.utf8_length(texts).to_numpy() > 0))
+        # chunks between spaces are numbered first, so that only distinct ones are taken apart
+        marked = pc.binary_join_element_wise(pa.scalar(FIRST), pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), "")
+        lists = pc.split_pattern(marked, " ")
+        own = lists.flatten().dictionary_encode()
+        made = [[place(w) for w in self.chunk(c)] for c in own.dictionary.to_pylist()]
+        length = np.fromiter(map(len, made), np.int64, len(made))
+        flat = np.fromiter(chain.from_iterable(made), np.int64, int(length.sum()))
+        start = np.cumsum(length) - length
+        chunks = own.indices.to_numpy()
+        owner = np.repeat(plain, np.diff(lists.offsets.to_numpy()))
+        n = length[chunks]
+        ends = np.cumsum(n)
+        codes = flat[np.repeat(start[chunks] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        rest = [(i, place(w)) for i in np.flatnonzero(apart).tolist() for w in self.whole(texts[i].as_py())]
+        more = np.array(rest, np.int64).reshape(-1, 2)
+        return list(places), np.concatenate([np.repeat(owner, n), more[:, 0]]), np.concatenate([codes, more[:, 1]])
+
+
+_open: dict[str, PreTokens] = {}
+
+
+def frequencies(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
+    """(block, ids, n_bytes, n_pairs, codes, counts, pretokens): a block's documents, and packed for all of them the places of their distinct pre-tokens in the block's list and how often each occurs."""
+
+    def kernel(batches):
+        from pyspark import TaskContext
+
+        if path not in _open:
+            _open[path] = PreTokens(path)
+        task, k, ids, held, size = TaskContext.get().partitionId() << 33, 0, [], [], 0
+
+        def row():
+            texts = pa.concat_arrays(held).fill_null("")
+            names, owner, code = _open[path].block(texts)
+            width = max(1, len(names))
+            pairs, counts = np.unique(owner * width + code, return_counts=True)
+            owner, code = pairs // width, pairs % width
+            # places ascend within a document; its first is told whole, the others by their distance
+            step = np.diff(code, prepend=0)
+            new = np.diff(owner, prepend=-1) != 0
+            step[new] = code[new]
+            streams = [pa.array([b"".join(_told(x))], pa.binary()) for x in (step, counts - 1)]
+            alone = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            n_pairs = pa.array(np.bincount(owner, minlength=len(texts)), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([task + k], pa.int64()), alone(pa.concat_arrays(ids)), alone(pc.binary_length(texts).cast(pa.int64())), alone(n_pairs), *streams, alone(pa.array(names, pa.string()))], ["block", "ids", "n_bytes", "n_pairs", "codes", "counts", "pretokens"])
+
+        for batch in small(batches):
+            ids.append(batch.column(0))
+            held.append(batch.column(1))
+            size += batch.nbytes
+            if size >= BLOCK_BYTES:
+                yield row()
+                k, ids, held, size = k + 1, [], [], 0
+        if held:
+            yield row()
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    return rows.mapInArrow(kernel, f"block long, ids array<{kind}>, n_bytes array<long>, n_pairs array<int>, codes binary, counts binary, pretokens array<string>")
+
+
+def _told(values: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    control, data = pack(values)
+    return len(values).to_bytes(8, "little"), control, data
+
+
+def _read(stream: bytes) -> np.ndarray:
+    n = int.from_bytes(stream[:8], "little")
+    border = 8 + -(-n // 4)
+    return unpack(stream[8:border], stream[border:], n).astype(np.int64)
+
+
+def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
+    """(pretoken, pieces) of distinct pre-tokens, by the library; no ids leave it."""
+
+    def kernel(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.pretokens = regex.compile(PATTERN).findall
-        special = "|".join(map(regex.escape, (t.content for t in self.library.get_added_tokens_decoder().values())))
-        # chunks between single spaces are counted apart; texts with other white space or special strings are counted by their pre-tokens
-        self.plain = regex.compile(r"[\s\x1c-\x1f]{2}|[\x00\x1c-\x1f]" + f"|{special}" * bool(special))
-        self.control = regex.compile(r"[\x00\x1c-\x1f]" + f"|{special}" * bool(special))
-        self.pieces: dict[str, int] = {}
-        self.table = ChunkTable(self._chunks, KEPT)
-
-    def _chunks(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        """The number of pieces of each chunk, as a sequence of that length's sum."""
-        split = [self.pretokens(c[1:] if c[:1] == FIRST else c if c[:1] == "\n" else " " + c) for c in chunks]
-        self._count({p for ps in split for p in ps})
-        return [(sum(self.pieces[p] for p in ps),) for ps in split]
-
-    def _count(self, pretokens: set[str]) -> None:
-        if len(self.pieces) > 2 * KEPT:
-            self.pieces.clear()
-        fresh = [p for p in pretokens if p not in self.pieces]
-        self.pieces |= zip(fresh, (len(e.ids) for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)))
-
-    def counts(self, texts: list[str]) -> np.ndarray:
-        lists, rest = [], {}
-        for i, text in enumerate(texts):
-            if not text:
-                lists.append([])
-            elif self.control.search(text):  # rare: the library itself finds special strings and control characters
-                lists.append([])
-                rest[i] = len(self.library.encode(text, add_special_tokens=False).ids)
-            elif self.plain.search(text):
-                lists.append([])
-                own = self.pretokens(text)
-                self._count(set(own))
-                rest[i] = sum(map(self.pieces.__getitem__, own))
-            else:
-                lists.append((FIRST + text.replace("\n", " \n")).split(" "))
-        first = np.cumsum([0, *map(len, lists)])
-        codes = self.table.codes(chain.from_iterable(lists), int(first[-1]))
-        out = per_text(self.table.flat[self.table.start[codes]].astype(np.int64), first)
-        for i, n in rest.items():
-            out[i] = n
-        return out
-
-
-_open: dict[str, PieceCounter] = {}
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        for batch in small(batches, 4096):
+            found = library.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, found)), pa.int32())], ["pretoken", "pieces"])
+
+    return pretokens.mapInArrow(kernel, "pretoken string, pieces int")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit) of each row: UTF-8 bytes and tokens of the whole text, and whether there are more than limit.
 
-    Special strings inside texts count as the library takes them by default; null and empty texts have no tokens.
-    Rows are handled one by one, so repeated or null ids do no harm, and other columns of docs are not looked at.
+    Special strings inside texts count as the library takes them by default; null and empty texts have no tokens. Rows
+    are never matched by their ids, so repeated or null ids do no harm, and other columns of docs are not looked at.
+    path: a byte-level vocabulary file that every executor has; a file with other rules is refused.
     """
 
     def kernel(batches):
-        if path not in _open:
-            _open[path] = PieceCounter(path)
-        for batch in small(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in groups(texts):
-                n = _open[path].counts(texts[i:j])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n, pa.int64()), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
+        for batch in small(batches, 16):
+            for ids, sizes, n_pairs, codes, counts, places, pieces in zip(*(batch.column(k) for k in range(7))):
+                by_place = np.zeros(len(places) + 1, np.int64)
+                by_place[places.values.to_numpy()] = pieces.values.to_numpy()
+                n = n_pairs.values.to_numpy().astype(np.int64)
+                ends = np.cumsum(n)
+                steps = np.cumsum(_read(codes.as_py()))
+                before = np.concatenate([[0], steps])[ends - n]
+                of = by_place[steps - np.repeat(before, n)] * _read(counts.as_py())  # counts less one
+                of += by_place[steps - np.repeat(before, n)]
+                sums = np.concatenate([[0], np.cumsum(of)])
+                total = sums[ends] - sums[ends - n]
+                yield pa.RecordBatch.from_arrays([ids.values, sizes.values, pa.array(total, pa.int64()), pa.array(total > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col), text, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    blocks = save(frequencies(docs, path, id_col, text_col))
+    words = blocks.select("block", F.posexplode("pretokens").alias("place", "pretoken"))
+    counted = save(piece_counts(words.select("pretoken").distinct(), path))
+    told = words.join(counted, "pretoken").groupBy("block").agg(F.collect_list(F.struct("place", "pieces")).alias("x")).select("block", F.col("x.place").alias("places"), F.col("x.pieces").alias("pieces"))
+    nothing = F.array().cast("array<int>")
+    rows = blocks.join(told, "block", "left").select("ids", "n_bytes", "n_pairs", "codes", "counts", F.coalesce("places", nothing), F.coalesce("pieces", nothing))
     return rows.mapInArrow(kernel, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, byte_letters
-from .chunks import ChunkTable, groups, spaced_words
+from .bpe import byte_letters
+from .chunks import WORDS, ChunkTable, groups, spaced_words, vocabulary_spec
 from .store import drop, limits, save, scratch, small
 
 #: Distinct chunks, and distinct pre-tokens, that a worker keeps.
@@ -55,18 +55,19 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class LibraryEncoder:
     """Ids of whole texts by the tokenizers library, whose model is asked once for each distinct pre-token.
 
-    For vocabularies of lower-case words with PATTERN's pre-tokens, which neither cross nor depend on white space."""
+    For vocabularies of lower-case words with the pre-tokens of WORDS, which neither cross nor depend on white space."""
 
     def __init__(self, path: str) -> None:
         import regex
         from tokenizers import Tokenizer
 
+        vocabulary_spec(path, "word")
         self.library = Tokenizer.from_file(path)
         self.model, self.letters = self.library.model, str.maketrans(byte_letters())
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.odd = regex.compile("[\x1c-\x1f]")  # white space to str.split() alone
-        self.by_space, self.pretokens = regex.compile(r"\P{White_Space}+").findall, regex.compile(PATTERN).findall
+        self.by_space, self.pretokens = regex.compile(r"\P{White_Space}+").findall, regex.compile(WORDS).findall
         self.kept: dict[str, list[int]] = {}
         self.table = ChunkTable(self._chunks, KEPT)
 

@@ -8,7 +8,8 @@ from tokenizers import Tokenizer
 
 from newtonmill.llm import chunks, token_files
 from newtonmill.llm.bpe import Bpe, bpe_encode
-from newtonmill.llm.token_counts import PieceCounter, token_counts
+from newtonmill.llm import token_counts as T
+from newtonmill.llm.token_counts import token_counts
 
 from . import cases
 
@@ -43,10 +44,50 @@ def test_every_token_is_its_own_encoding():
     assert all(found[t] == (bpe.vocab[t + "</w>"],) for t in plain) and len(plain) > 10_000
 
 
-def test_piece_counts_equal_the_library():
-    library, counter, data = Tokenizer.from_file(BYTE), PieceCounter(BYTE), texts()
-    want = [len(library.encode(t, add_special_tokens=False).ids) for t in data]
-    assert counter.counts(data).tolist() == want
+@pytest.mark.parametrize("block", [1 << 10, 8 << 20])
+def test_token_counts_equal_the_library(spark, monkeypatch, block):
+    monkeypatch.setattr(T, "BLOCK_BYTES", block)
+    library, data = Tokenizer.from_file(BYTE), [*texts(), "word " * 300_000, "漢" * 3000, " ", "\n", " lead", "trail ", "\n\nx\n y"]
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(3).selectExpr("*", "1 as block", "2 as codes")
+    found = {r.doc_id: r for r in token_counts(df, BYTE).collect()}
+    assert len(found) == len(data)
+    for k, t in enumerate(data):
+        n = len(library.encode(t, add_special_tokens=False).ids)
+        assert (found[k].n_bytes, found[k].n_tokens, found[k].over_limit) == (len(t.encode()), n, n > 1024), t[:100]
+
+
+def test_pretokens_are_counted_once(spark):
+    """No pre-token comes twice to the library, whatever the number of blocks."""
+    df = spark.createDataFrame([(k, "the same words in every row and a new one" + str(k)) for k in range(400)], "doc_id long, text string").repartition(4)
+    lists = [r.pretokens for r in T.frequencies(df, BYTE, "doc_id", "text").collect()]
+    assert len(lists) == 4 and all(len(x) == len(set(x)) for x in lists)
+    words = spark.createDataFrame([(w,) for x in lists for w in x], "pretoken string").distinct()
+    assert words.count() == len({w for x in lists for w in x}) < sum(map(len, lists)) and T.piece_counts(words, BYTE).count() == words.count()
+
+
+@pytest.mark.parametrize(("field", "value"), [("normalizer", {"type": "NFKC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("added_tokens", [{"id": 1, "content": "x", "single_word": True, "lstrip": False, "rstrip": False, "normalized": False}])])
+def test_other_vocabularies_are_refused(tmp_path, field, value):
+    import json
+
+    for path, kind, make in ((WORD, "word", Bpe), (WORD, "word", token_files.LibraryEncoder), (BYTE, "byte", T.PreTokens)):
+        spec = json.load(open(path, encoding="utf-8")) | {field: value}
+        (tmp_path / "v.json").write_text(json.dumps(spec), encoding="utf-8")
+        with pytest.raises(ValueError, match=f"no {kind} vocabulary"):
+            make(str(tmp_path / "v.json"))
+    with pytest.raises(ValueError):
+        T.PreTokens(WORD)
+
+
+def test_a_byte_that_the_vocabulary_lacks_is_told(tmp_path):
+    import json
+
+    spec = json.load(open(WORD, encoding="utf-8"))
+    q = {t: i for t, i in spec["model"]["vocab"].items() if "q" in t}
+    spec["model"]["vocab"] = {t: i for t, i in spec["model"]["vocab"].items() if t not in q}
+    spec["model"]["merges"] = [m for m in spec["model"]["merges"] if not any("q" in x for x in (m if isinstance(m, list) else m.split(" ")))]
+    (tmp_path / "v.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="symbol"):
+        Bpe(str(tmp_path / "v.json")).encode_words(["aqa"])
 
 
 def test_library_encoder_equals_the_library(word):
