@@ -5,6 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .spotsigs import ANCHORS
+
 
 def vocabulary(name: str) -> str:
     """The path of a public vocabulary file."""
@@ -49,6 +51,12 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import near_by_signatures
+
+    return near_by_signatures(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_file_index
 
@@ -99,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_token_counts": op4_token_counts,
     "op5_spotsigs": op5_spotsigs,
+    "spotsigs_classes": spotsigs_classes,
     "op6_token_files": op6_token_files,
     "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
@@ -117,7 +126,18 @@ CHAT = """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(20 + length(replace(replace(replace(role || text, chr(92), 'xx'), '<', 'xx'), '[', 'xx')))::BIGINT AS formatted_chars FROM t GROUP BY conv_id"""
 
+#: The common words of spot signatures, as a pattern.
+COMMON = "(?:" + "|".join(ANCHORS) + ")"
+
 ORACLE_SQL: dict[str, str] = {
+    "spotsigs_classes": rf"""WITH RECURSIVE p AS (SELECT doc_id, text, ltrim(regexp_replace(' ' || regexp_replace(lower(coalesce(text, '')), '[\s\x0b[:punct:]]+', ' ', 'g') || ' ', ' +', ' ', 'g')) AS w FROM documents),
+  c AS (SELECT doc_id, text, regexp_extract_all(ltrim(regexp_replace(' ' || w, ' (?:{COMMON} )+$', ' ')), '(?:{COMMON} )*[^ ]+ ') AS u FROM p),
+  m AS (SELECT doc_id, text, list_distinct(list_concat(u, list_filter(list_transform(range(1, len(u)), lambda k: CASE WHEN instr(u[k], ' ') < length(u[k]) THEN u[k] || '|' || regexp_extract(u[k + 1], '[^ ]+ $') END), lambda x: x IS NOT NULL))) AS m FROM c),
+  n AS (SELECT doc_id, CASE WHEN len(m) = 0 AND length(text) > 0 THEN [text] ELSE m END AS m FROM m), s AS (SELECT doc_id, unnest(m) AS m FROM n),
+  o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.m = b.m AND a.doc_id <> b.doc_id GROUP BY ALL),
+  l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100*i >= 75*(len(a.m) + len(b.m) - i)),
+  r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x), k AS (SELECT x, min(y) AS class_id FROM r GROUP BY x)
+  SELECT n.doc_id, len(m)::BIGINT AS n_signatures, class_id FROM n JOIN k ON k.x = n.doc_id""",
     "op1_minhash_dedup": f"""WITH RECURSIVE d AS (SELECT doc_id, w, least(len(w), 5) AS n FROM (SELECT doc_id, {FOLDED} AS w FROM documents) t),
   s AS (SELECT DISTINCT doc_id, {GRAMS} AS s FROM d WHERE n > 0), c AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
   p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),

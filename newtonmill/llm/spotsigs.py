@@ -8,7 +8,8 @@ words; a text without words has its own hash.
 
 Fingerprints are compared by the Jaccard similarity of their sets. A search for near duplicates first partitions the
 sets by length: sets whose lengths differ by more than the threshold allows cannot match, and neither can sets that
-share none of their rarest members.
+share none of their rarest members. In what is left, most comparisons are spared, as every set meets the first of its
+bucket before it meets others, and sets already joined need not meet.
 """
 
 import math
@@ -16,7 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import save
+from .graph import components
+from .store import drop, save
 
 #: Common words of the four languages. Fixed values.
 ANCHORS = (
@@ -27,6 +29,8 @@ ANCHORS = (
 ).split()
 #: Ids in one bucket of neighbours, and buckets that one task puts in order.
 NEIGHBOURS, ORDERED = 256, 1 << 16
+#: Sets in one block of a bucket, each block of which meets each other.
+BLOCK = 64
 LOWEST = -(1 << 62)
 
 
@@ -56,8 +60,8 @@ def signatures(text: Column) -> Column:
 
 
 def fingerprint(signatures: Column) -> Column:
-    """A set of signatures as a string."""
-    return F.array_join(F.transform(signatures, F.hex), ",")
+    """A set of signatures as a string: base64 of its members, eight bytes each, in order. It is whole, so it grows with the text."""
+    return F.regexp_replace(F.base64(F.unhex(F.array_join(F.transform(signatures, lambda x: F.lpad(F.hex(x), 16, "0")), ""))), r"\s", "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -82,20 +86,56 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Ids are dealt out in buckets of neighbours; each bucket gets a copy of the next one's first row, so rows move once
     and no task orders the whole table. Rows without an id come first, rows that share an id are ordered by a hash of
-    their texts.
+    their texts, and those rows are dealt out by that hash, too, so they need not share a task. Of equal rows one is
+    moved; all but the last of them are followed by their like.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumns({"bucket": F.coalesce(F.floor(F.col("id") / NEIGHBOURS), F.lit(LOWEST)), "tie": F.xxhash64("text")})
-    firsts = save(rows.groupBy("bucket").agg(F.min(F.struct("id", "tie")).alias("x")).select("bucket", F.col("x.id").alias("id"), F.col("x.tie").alias("tie")))
-    heads = rows.alias("r").join(firsts.alias("f"), F.expr("r.bucket = f.bucket and r.id <=> f.id and r.tie = f.tie")).select("r.bucket", "r.text").dropDuplicates(["bucket"])
-    order = save(_following(firsts.select(F.col("bucket").alias("key"))))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
+    many = save(rows.groupBy("id", "tie").agg(F.count("*").alias("copies")).where("copies > 1"))
+    rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    if not many.isEmpty():
+        known = rows.drop("copies").alias("r").join(many.alias("m"), F.expr("r.id <=> m.id and r.tie = m.tie"), "left").select("r.*", "m.copies")
+        once = known.where("copies is not null").groupBy("id", "tie").agg(F.first("text").alias("text"), F.max("copies").alias("copies"))
+        rows = known.where("copies is null").withColumn("copies", F.lit(1).cast("long")).unionByName(once)
+    crowded = save(rows.groupBy("id").agg(F.count("*").alias("n")).where(f"n > {NEIGHBOURS}"))
+    low = F.coalesce(F.floor(F.col("id") / NEIGHBOURS), F.lit(LOWEST))
+    if crowded.isEmpty():
+        rows = rows.withColumns({"bucket": low, "share": F.lit(0)})
+    else:  # a crowded id has buckets of its own, one for each share of its hashes, and so have the ids behind it
+        crowded = crowded.select(F.col("id").alias("crowd"), F.ceil(F.col("n") / NEIGHBOURS).alias("shares"), F.coalesce(F.floor(F.col("id") / NEIGHBOURS), F.lit(LOWEST)).alias("of"))
+        spot = crowded.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("crowd", "shares"))).alias("crowds"))  # at most NEIGHBOURS ids
+        rows = rows.withColumn("of", low).join(spot, "of", "left")
+        before = F.coalesce(F.aggregate(F.filter("crowds", lambda c: c["crowd"] <= F.col("id")), F.lit(0).cast("long"), lambda n, c: n + 1), F.lit(0))
+        own = F.get(F.filter("crowds", lambda c: c["crowd"].eqNullSafe(F.col("id"))), F.lit(0))["shares"]
+        part = F.floor((F.col("tie") / 2.0**64 + 0.5) * own)
+        rows = rows.withColumns({"bucket": F.col("of"), "share": F.coalesce(F.when(own.isNotNull(), F.shiftleft(before, 40) + F.least(part, own - 1)), F.shiftleft(before, 40) + F.lit((1 << 40) - 1) * F.when(before > 0, 1).otherwise(0))}).drop("of", "crowds")
+    rows = rows.withColumn("deal", F.struct("bucket", "share"))
+    firsts = save(rows.groupBy("deal").agg(F.min(F.struct("id", "tie")).alias("x")).select("deal", F.col("x.id").alias("id"), F.col("x.tie").alias("tie")))
+    heads = rows.alias("r").join(firsts.alias("f"), F.expr("r.deal = f.deal and r.id <=> f.id and r.tie = f.tie")).select("r.deal", "r.text")
+    order = save(_chain(firsts.select("deal")))
+    copies = save(order.select(F.col("deal").alias("to"), F.col("next").alias("deal")).join(heads, "deal").select(F.col("to").alias("deal"), "text"))
+    all_rows = rows.withColumn("extra", F.lit(0)).unionByName(copies.withColumn("extra", F.lit(1)), allowMissingColumns=True)
+    signed = all_rows.repartition("deal").withColumn("signatures", signatures(F.col("text")))
+    order = Window.partitionBy("deal").orderBy("extra", "id", "tie")
+    beside = signed.withColumns({"next_text": F.lead("text").over(order), "next_signatures": F.lead("signatures").over(order)}).where("extra = 0")
+    if many.isEmpty():
+        return beside.select("id", "text", "signatures", "next_text", "next_signatures")
+    again = beside.withColumn("last", F.explode(F.array_distinct(F.array(F.lit(True), F.col("copies") == 1))))
+    again = again.withColumn("place", F.explode(F.when(F.col("last"), F.array(F.lit(1).cast("long"))).otherwise(F.sequence(F.lit(2).cast("long"), "copies"))))
+    pick = lambda own, after: F.when(F.col("last"), F.col(after)).otherwise(F.col(own)).alias(after)
+    return again.select("id", "text", "signatures", pick("text", "next_text"), pick("signatures", "next_signatures"))
+
+
+def _chain(deals: DataFrame) -> DataFrame:
+    """(deal, next): the deal behind each, the first behind the last. The buckets are ordered by _following, the shares of one bucket by runs of ORDERED."""
+    ends = save(deals.groupBy("deal.bucket").agg(F.min("deal.share").alias("first"), F.max("deal.share").alias("last")))
+    order = save(_following(ends.select(F.col("bucket").alias("key"))))
     least = order.agg(F.min("key")).first()[0]
-    copies = order.select(F.col("key").alias("to"), F.coalesce("next", F.lit(least)).alias("bucket")).join(heads, "bucket").select(F.col("to").alias("bucket"), "text")
-    all_rows = rows.withColumn("extra", F.lit(0)).unionByName(save(copies).withColumn("extra", F.lit(1)), allowMissingColumns=True)
-    signed = all_rows.repartition("bucket").withColumn("signatures", signatures(F.col("text")))
-    order = Window.partitionBy("bucket").orderBy("extra", "id", "tie")
-    beside = signed.withColumns({"next_text": F.lead("text").over(order), "next_signatures": F.lead("signatures").over(order)})
-    return beside.where("extra = 0").select("id", "text", "signatures", "next_text", "next_signatures")
+    after = order.select(F.col("key").alias("bucket"), F.coalesce("next", F.lit(least)).alias("to")).join(ends.select(F.col("bucket").alias("to"), F.struct(F.col("bucket"), F.col("first").alias("share")).alias("head")), "to")
+    own = deals.select("deal", "deal.bucket", "deal.share", F.floor(F.col("deal.share") / ORDERED).alias("run"))
+    runs = own.groupBy("bucket", "run").agg(F.min("deal").alias("begin")).withColumn("beyond", F.lead("begin").over(Window.partitionBy("bucket").orderBy("run"))).drop("begin")
+    own = own.withColumn("inside", F.lead("deal").over(Window.partitionBy("bucket", "run").orderBy("share"))).join(runs, ["bucket", "run"])
+    return own.join(after, "bucket").select("deal", F.coalesce("inside", "beyond", "head").alias("next"))
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,24 +154,59 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), signatures(F.col(text_col).cast("string")).alias("s")).withColumns({"set_a": F.xxhash64("s"), "set_b": F.xxhash64(F.lit(1), "s")})
+
+
+def _buckets(nodes: DataFrame, share: float) -> DataFrame:
+    """(bucket, node): sets alike by `share` meet in a bucket, of a partition of lengths and a member that is among the rarest of both.
+
+    A partition's sets are at most 1 / share times as long as its shortest, so a set can only match its own and the two beside it."""
+    nodes = nodes.select("node", F.floor(F.log(F.size("s")) / F.lit(-math.log(share)) + 1e-9).alias("part"), F.size("s").alias("n"), F.explode("s").alias("m"))
+    often = nodes.groupBy("m").agg(F.count("*").alias("often")).where("often > 1")
+    # members of one set alone are its rarest, and meet nothing
+    shared = nodes.join(often, "m")
+    alone = (F.col("n") - F.count("*").over(Window.partitionBy("node"))).alias("alone")
+    ranked = shared.select("node", "part", "n", "m", alone, F.row_number().over(Window.partitionBy("node").orderBy("often", "m")).alias("rank"))
+    rare = ranked.where(F.col("alone") + F.col("rank") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1)
+    return rare.select(F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "m", "node", "n").select(F.xxhash64("part", "m").alias("bucket"), "node", "n")
+
+
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    """Whether two sets have the Jaccard similarity; the sizes decide first where they can."""
+    n, m = F.size(a), F.size(b)
+    both = F.size(F.array_intersect(a, b))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * both >= percent * (n + m - both))
+
+
 def near_by_signatures(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, likeness), a < b: pairs of representatives whose signature sets are alike by at least `percent` %.
+    """(id_col, n_signatures, class_id) of each row of docs: class_id is the least id that links reach, itself included.
 
-    Rows with equal sets have one representative, the least id. Sets are partitioned by length so that only a partition
-    and the one above it can match; within, a pair must share one of the rarest members that either set may not lack.
-    Null ids and empty sets match nothing.
+    Rows are linked where the Jaccard similarity of their signature sets is `percent` % at least. Equal sets are one
+    node. A bucket's nodes first meet its least one; where it still holds several classes, its blocks of nodes meet, and
+    only their links come out, never their pairs. A row without an id or with an empty set is linked with nothing; one
+    without an id has no class. Rows that share an id are one node. Other columns of docs are not looked at.
     """
-    share = percent / 100
-    sets = docs.select(F.col(id_col).cast("long").alias("id"), signatures(F.col(text_col).cast("string")).alias("s")).where("id is not null and size(s) > 0")
-    sets = save(sets.groupBy("s").agg(F.min("id").alias("id")).withColumn("part", F.floor(F.log(F.size("s")) / F.lit(-math.log(share)) + 1e-9)))
-    members = sets.select("id", "part", F.size("s").alias("n"), F.explode("s").alias("m"))
-    common = members.groupBy("m").agg(F.count("*").alias("often"))
-    ranked = members.join(common, "m").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("often", "m")))
-    rare = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select("id", "part", "n", "m")
-    above = rare.withColumn("part", F.explode(F.array(F.col("part"), F.col("part") - 1)))
-    one, two = rare.toDF("a", "part", "n_a", "m"), above.toDF("b", "part", "n_b", "m")
-    longer = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))
-    pairs = one.join(two, ["part", "m"]).where(longer & (F.col("n_a") >= F.col("n_b") * share - 1e-9)).select("a", "b").distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    alike = pairs.join(left, "a").join(right, "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness"))
-    return alike.where(F.col("likeness") >= share).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
+    signed = save(_sets(docs, id_col, text_col))
+    nodes = save(signed.where("id is not null and size(s) > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("node"), F.first("s").alias("s")))
+    buckets = save(_buckets(nodes, percent / 100))
+    hubs = save(buckets.groupBy("bucket").agg(F.min(F.struct("n", "node")).alias("hub"), F.max(F.struct("n", "node")).alias("top")).where("hub.node <> top.node").select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
+    shared = save(buckets.join(hubs, "bucket"))
+    met = save(shared.where(f"node <> hub and 100 * hub_n >= {percent} * n").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
+    one, two = nodes.select(F.col("node").alias("a"), F.col("s").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    links = save(met.join(one, "a").join(two, "b").where(_alike(F.col("sa"), F.col("sb"), percent)).select("a", "b"))
+    joined = save(components(links))
+    known = shared.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class"))
+    open_ = save(known.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("x < y").select("bucket", "blocks"))
+    rest = known.join(open_, "bucket").join(nodes.select("node", "s"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    blocks = save(rest.groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "class", "s")).alias("x")))  # about BLOCK sets
+    left, right = blocks.toDF("bucket", "lo", "left"), blocks.toDF("bucket", "hi", "right")
+    fits = lambda p: lambda q: (p["node"] > q["node"]) & (p["class"] != q["class"]) & _alike(p["s"], q["s"], percent)
+    found = F.flatten(F.transform("left", lambda p: F.transform(F.filter("right", fits(p)), lambda q: F.struct(p["node"].alias("a"), q["node"].alias("b")))))
+    more = left.join(right, "bucket").select(F.explode(found).alias("l")).select("l.a", "l.b").distinct()
+    joined = components(links.unionAll(save(more)))
+    for used in (buckets, shared, met, blocks):
+        drop(used)
+    ids = nodes.join(joined, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("c"))
+    out = signed.join(ids, ["set_a", "set_b"], "left")
+    return out.select(F.col("id").alias(id_col), F.size("s").cast("long").alias("n_signatures"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("class_id"))

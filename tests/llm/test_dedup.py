@@ -1,11 +1,14 @@
+import base64
 import hashlib
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newtonmill.llm import minhash_dedup as M
 from newtonmill.llm.graph import components
+from newtonmill.llm import spotsigs
 from newtonmill.llm.spotsigs import compare_with_edits, near_by_signatures
 from newtonmill.llm.substring_dedup import remove_repeats
 
@@ -109,6 +112,11 @@ def test_repeats_equal_brute_force(spark, length):
     assert sum(r[2] for r in want) > 0
 
 
+def members(fingerprint):
+    data = base64.b64decode(fingerprint)
+    return {data[k : k + 8] for k in range(0, len(data), 8)}
+
+
 def test_edits_and_neighbours(spark):
     data = [(i, t) for i, t in cases.rows() if i is not None]
     data = list({i: t for i, t in data}.items())
@@ -121,7 +129,7 @@ def test_edits_and_neighbours(spark):
         edited = t[: len(t) - half] + after[:half]
         r, nxt = found[i], found[order[(k + 1) % len(order)][0]]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        own, other, beside = (set(x.split(",")) - {""} for x in (r.fingerprint, r.edited_fingerprint, nxt.fingerprint))
+        own, other, beside = map(members, (r.fingerprint, r.edited_fingerprint, nxt.fingerprint))
         assert r.near_edited == pytest.approx(len(own & other) / len(own | other) if own | other else 1.0)
         assert r.near_next == pytest.approx(len(own & beside) / len(own | beside) if own | beside else 1.0)
     assert found[8].fingerprint == found[9].fingerprint
@@ -133,7 +141,7 @@ def test_edits_across_seven_and_eight_signatures(spark, own, after):
     pairs = lambda n, c: "".join(f"the {c}{k} {c}{c}{k} " for k in range(n))
     text = "".join(f"item{k} " for k in range(30)) + pairs(own, "x")
     found = {r.doc_id: r for r in compare_with_edits(cases.frame(spark, [(1, text), (2, pairs(after, "y") or "".join(f"thing{k} " for k in range(40)))])).collect()}
-    assert len(found[1].fingerprint.split(",")) == own + 30 + 2 * own
+    assert len(members(found[1].fingerprint)) == own + 30 + 2 * own
     assert found[1].near_edited > 0.2 and found[1].near_next == 0
 
 
@@ -143,12 +151,55 @@ def test_rows_that_share_an_id_or_have_none(spark):
     assert compare_with_edits(cases.frame(spark, [(1, "lonely text of the one row")])).first().near_next == 1.0
 
 
-def test_signature_search_equals_all_pairs(spark):
+@pytest.mark.parametrize("crowd", [2, 300])
+def test_neighbours_of_crowded_ids(spark, monkeypatch, crowd):
+    """Many rows share an id or have none, equal ones among them: each is followed by the next in the order of id and text hash."""
+    monkeypatch.setattr(spotsigs, "NEIGHBOURS", crowd)
+    monkeypatch.setattr(spotsigs, "ORDERED", 2)
+    ids = [None] * 40 + [3] * 30 + [1, 2, 4, 5, 5, 5, 9, 600, 601] + [10**6] * 20
+    data = [(i, f"t{k % 17} {'x' * (k % 5)}") for k, i in enumerate(ids)]
+    got = spotsigs.with_next(cases.frame(spark, data)).select("id", "text", F.xxhash64("text").alias("tie"), "next_text").collect()
+    assert sorted((r.id or 0, r.text) for r in got) == sorted((i or 0, t) for i, t in data)
+    order = sorted((r.id if r.id is not None else -1, r.tie, r.text) for r in got)
+    want = sorted((*order[k][::2], order[(k + 1) % len(order)][2]) for k in range(len(order)))
+    assert sorted((r.id if r.id is not None else -1, r.text, r.next_text) for r in got) == want
+
+
+def classes(data):
+    """Least reachable id by the signature sets of the rows, all pairs compared."""
+    sets, root = {i: s for i, s in data if s}, {i: i for i, _ in data}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(sets, 2):
+        if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    return {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize("block", [3, 64])
+def test_signature_search_equals_all_pairs(spark, monkeypatch, block):
+    """Copies, texts edited a little and a lot, and a family whose original is missing, so that no hub joins it."""
+    monkeypatch.setattr(spotsigs, "BLOCK", block)
     base = "the cat sat on a mat and the dog ran to the house of a man with the red hat in an old town by the sea".split()
-    data = [(i, " ".join(base[:-i] if i < 6 else [f"{w}{i}" for w in base])) for i in range(1, 9)] + [(20, None), (21, " ".join(base[:-1]))]
-    sets = {r.doc_id: frozenset(r.fingerprint.split(",")) for r in compare_with_edits(cases.frame(spark, data)).collect() if r.fingerprint}
-    least: dict[frozenset, int] = {}
-    for i, s in sets.items():
-        least[s] = min(i, least.get(s, i))
-    want = {(min(i, j), max(i, j)) for (a, i), (b, j) in combinations(least.items(), 2) if len(a & b) >= 0.75 * len(a | b)}
-    assert {(r.a, r.b) for r in near_by_signatures(cases.frame(spark, data)).collect()} == want and want
+    data = [(i, " ".join(base[:-i] if i < 6 else [f"{w}{i}" for w in base])) for i in range(1, 9)] + [(20, None), (21, " ".join(base[:-1])), (22, "!!"), (23, "!!"), (24, "")]
+    rng = np.random.default_rng(4)
+    for i in range(100, 160):
+        own = [f"w{k}" for k in range(120)]
+        for at in rng.choice(120, rng.integers(1, 14), replace=False):
+            own[at] = f"x{i}_{at}"
+        data.append((i, " the ".join(own)))
+    data += cases.rows(n=12)
+    data = list({i: t for i, t in data if i is not None}.items())
+    df = cases.frame(spark, [*data, (None, data[0][1])])
+    sets = [(r.doc_id, frozenset(r.x)) for r in df.select("doc_id", spotsigs.signatures(F.col("text")).alias("x")).collect() if r.doc_id is not None]
+    found = near_by_signatures(df).collect()
+    want = classes(sets)
+    assert {r.doc_id: r.class_id for r in found} == {**want, None: None} and len(found) == len(data) + 1
+    assert len(set(want.values())) < len(want) - 20
+    assert {r.doc_id: r.n_signatures for r in found if r.doc_id is not None} == {i: len(s) for i, s in sets}
+    assert near_by_signatures(df.limit(0)).count() == 0
