@@ -54,8 +54,8 @@ def signatures(text: Column) -> Column:
     spots = lambda units: F.array_compact(F.zip_with(units, F.slice(units, 2, F.greatest(F.size(units), F.lit(1))), spot))
     chosen = lambda units: F.array_sort(F.array_distinct(F.concat(spots(units), F.transform(units, lambda u: F.xxhash64(u)))))
     # a unit is a content word with the anchors before it; anchors at the end are no unit
-    plain = F.concat(F.ltrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+", " ")), F.lit(" "))
-    units = F.regexp_extract_all(plain, F.lit(f"(?:(?:{_alternatives(ANCHORS)}) )*+[^ ]+ +"), F.lit(0))
+    plain = F.concat(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+", " ")), F.lit(" "))
+    units = F.regexp_extract_all(plain, F.lit(rf"\G(?:(?:{_alternatives(ANCHORS)}) )*+[^ ]+ "), F.lit(0))
     return _let(_let(units, chosen), lambda found: F.when((F.size(found) == 0) & (F.length(text) > 0), F.array(F.xxhash64(text))).otherwise(F.coalesce(found, none)))
 
 
