@@ -136,6 +136,33 @@ def lcg_stream(seed: Column, n: int) -> Column:
     return F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array(seed.cast("long")), lambda a, _: F.concat(a, F.array(lcg_next(F.element_at(a, -1))))), 2, n)
 
 
+def lcg_reals(seed: Column, n: int, low: float = 0.0, high: float = 1.0) -> Column:
+    """The n states that follow seed as numbers from low to high, both included."""
+    return F.transform(lcg_stream(seed, n), lambda x: F.lit(low) + x / F.lit(float((1 << 32) - 1)) * F.lit(high - low))
+
+
+def c_runtime_stream(seed: Column, n: int) -> Column:
+    """n numbers from 0 to 32767, as a C run-time library draws them: 15 bits of the states that follow seed."""
+    return F.transform(lcg_stream(seed, n), lambda x: F.shiftright(x, 16).bitwiseAND(F.lit((1 << 15) - 1)))
+
+
+def exponent(x: Column) -> Column:
+    """The binary exponent of a normal number: x is its sign times its mantissa, in [1, 2), times 2 to the exponent. Null for 0."""
+    e = F.floor(F.log2(F.abs(x)))
+    p = F.pow(F.lit(2.0), e)
+    return F.when(x == 0, None).when(p > F.abs(x), e - 1).when(2 * p <= F.abs(x), e + 1).otherwise(e).cast("int")
+
+
+def mantissa(x: Column) -> Column:
+    """The mantissa of a normal number, in [1, 2); 0 for 0."""
+    return F.when(x == 0, 0.0).otherwise(F.abs(x / power_of_two_floor(x)))
+
+
+def nonempty_lines(text: Column) -> Column:
+    """Line ends that do not follow another, carriage returns left out: what stands behind the last line end is no line, and white space is text."""
+    return F.regexp_count(F.regexp_replace(text, "\r", ""), F.lit("\n+"))
+
+
 def uniform(key: Column, *salt: Column) -> Column:
     """A number in [0, 1) that depends on key and salt alone, not on partitions."""
     return F.shiftrightunsigned(F.xxhash64(key, *salt), 11) / F.lit(float(1 << 53))

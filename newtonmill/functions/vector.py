@@ -3,11 +3,18 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalar import uniform
+
 
 def constant(value: float, n: int) -> Column:
     return F.array_repeat(F.lit(float(value)), n)
 
 
+def random_fill(key: Column, n: int, seed: int, low: float = 0.0, high: float = 1.0) -> Column:
+    """n uniform numbers that depend on key and seed alone."""
+    return F.array(*(F.lit(low) + F.lit(high - low) * uniform(key, F.lit(seed), F.lit(k)) for k in range(n)))
+
+
 def indices(a: Column) -> Column:
     return F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
 

@@ -38,10 +38,14 @@ def combine(a: DataFrame, b: DataFrame, times: float = 1.0) -> DataFrame:
     return a.unionByName(b.select("i", "j", (F.col("v") * times).alias("v"))).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+#: Items of the second vector of an outer product in one row.
+OUTER_BLOCK = 1024
+
+
 def outer(u: DataFrame, w: DataFrame) -> DataFrame:
-    """(i, j, v) of two vectors (i, v); w goes to every row of u as one array, so no pairs are shuffled."""
-    whole = w.agg(F.collect_list(F.struct("i", "v")).alias("w"))
-    return u.join(F.broadcast(whole), F.lit(True)).select("i", "v", F.explode("w").alias("x")).select("i", F.col("x.i").alias("j"), (F.col("v") * F.col("x.v")).alias("v"))
+    """(i, j, v) of two vectors (i, v); w meets the rows of u in blocks of bounded size."""
+    blocks = w.groupBy(F.floor(F.col("i") / OUTER_BLOCK).alias("b")).agg(F.collect_list(F.struct("i", "v")).alias("w"))
+    return u.crossJoin(blocks.select("w")).select("i", "v", F.explode("w").alias("x")).select("i", F.col("x.i").alias("j"), (F.col("v") * F.col("x.v")).alias("v"))
 
 
 def add_to_diagonal(m: DataFrame, c: float) -> DataFrame:
@@ -53,6 +57,120 @@ def scale_rows(m: DataFrame, diagonal: DataFrame) -> DataFrame:
     return m.join(diagonal.select("i", F.col("v").alias("w")), "i").select("i", "j", (F.col("w") * F.col("v")).alias("v"))
 
 
+def scale_columns(m: DataFrame, diagonal: DataFrame) -> DataFrame:
+    """m times a diagonal matrix (i, v)."""
+    return transpose(scale_rows(transpose(m), diagonal))
+
+
+def matvec_add(m: DataFrame, x: DataFrame, y: DataFrame, alpha: float = 1.0, beta: float = 0.0) -> DataFrame:
+    """(i, v) of alpha * m x + beta * y, as one sum over both."""
+    both = matvec(m, x).select("i", (F.col("v") * alpha).alias("v")).unionByName(y.select("i", (F.col("v") * beta).alias("v")))
+    return both.groupBy("i").agg(F.sum("v").alias("v"))
+
+
+def sub_matrix(m: DataFrame, top: int, left: int, rows: int, columns: int) -> DataFrame:
+    """The entries of a rectangle, counted from its own corner."""
+    inside = (F.col("i") >= top) & (F.col("i") < top + rows) & (F.col("j") >= left) & (F.col("j") < left + columns)
+    return m.where(inside).select((F.col("i") - top).alias("i"), (F.col("j") - left).alias("j"), "v")
+
+
+def get_row(m: DataFrame, i: int) -> DataFrame:
+    return m.where(F.col("i") == i).select(F.col("j").alias("i"), "v")
+
+
+def get_column(m: DataFrame, j: int) -> DataFrame:
+    return get_row(transpose(m), j)
+
+
+def set_row(m: DataFrame, i: int, x: DataFrame) -> DataFrame:
+    """m with the row i replaced by the vector (i, v)."""
+    return m.where(F.col("i") != i).unionByName(x.select(F.lit(i).alias("i"), F.col("i").alias("j"), "v"))
+
+
+def set_column(m: DataFrame, j: int, x: DataFrame) -> DataFrame:
+    return transpose(set_row(transpose(m), j, x))
+
+
+def append_columns(m: DataFrame, more: DataFrame, width: int) -> DataFrame:
+    """m of the width given, with the columns of more behind it."""
+    return m.unionByName(more.select("i", (F.col("j") + width).alias("j"), "v"))
+
+
+def remove_columns(m: DataFrame, first: int, n: int) -> DataFrame:
+    """m without n columns; those behind them move up."""
+    left = m.where((F.col("j") < first) | (F.col("j") >= first + n))
+    return left.withColumn("j", F.when(F.col("j") >= first + n, F.col("j") - n).otherwise(F.col("j")))
+
+
+def swap_rows(m: DataFrame, p: int, q: int) -> DataFrame:
+    return m.withColumn("i", F.when(F.col("i") == p, F.lit(q)).when(F.col("i") == q, F.lit(p)).otherwise(F.col("i")))
+
+
+def scale_row(m: DataFrame, i: int, c: float) -> DataFrame:
+    return m.withColumn("v", F.when(F.col("i") == i, F.col("v") * c).otherwise(F.col("v")))
+
+
+def add_row(m: DataFrame, source: int, target: int, c: float) -> DataFrame:
+    """m with c times the row `source` added to the row `target`."""
+    extra = m.where(F.col("i") == source).select(F.lit(target).alias("i"), "j", (F.col("v") * c).alias("v"))
+    return m.unionByName(extra).groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def swap_columns(m: DataFrame, p: int, q: int) -> DataFrame:
+    return transpose(swap_rows(transpose(m), p, q))
+
+
+def scale_column(m: DataFrame, j: int, c: float) -> DataFrame:
+    return transpose(scale_row(transpose(m), j, c))
+
+
+def add_column(m: DataFrame, source: int, target: int, c: float) -> DataFrame:
+    return transpose(add_row(transpose(m), source, target, c))
+
+
+def dense(m: DataFrame, most: int = 4096):
+    """m as a numpy array on the driver; a matrix with an index of `most` or more is refused."""
+    import numpy as np
+
+    top = m.agg(F.coalesce(F.max(F.greatest("i", "j")), F.lit(-1)), F.max("i"), F.max("j")).first()
+    if top[0] >= most:
+        raise ValueError(f"a matrix of more than {most} rows or columns does not go to the driver")
+    out = np.zeros(((top[1] if top[1] is not None else -1) + 1, (top[2] if top[2] is not None else -1) + 1))
+    for r in m.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        out[r.i, r.j] = r.v
+    return out
+
+
+def rank(m: DataFrame) -> DataFrame:
+    """One row: the rank, by elimination on the driver."""
+    from ..plans import solvers
+
+    return m.sparkSession.createDataFrame([(solvers.rank(dense(m)),)], "rank int")
+
+
+def solvable(m: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether m x = b has a solution, and the dimension of the solutions of m x = 0; b: (i, v)."""
+    import numpy as np
+
+    from ..plans import solvers
+
+    a, rhs = dense(m), dense(b.select("i", F.lit(0).alias("j"), "v"))
+    right = np.zeros(len(a))
+    right[: min(len(a), len(rhs))] = rhs[: len(a), 0]
+    x, null = solvers.gauss(a, right)
+    beyond = bool(np.any(rhs[len(a) :]))
+    return m.sparkSession.createDataFrame([(x is not None and not beyond, null.shape[1])], "feasible boolean, null_dimension int")
+
+
+def orthogonal(m: DataFrame, eps: float = 1e-9) -> DataFrame:
+    """One row: whether the columns of m are orthonormal, entry by entry of its transpose times itself."""
+    own = matmul(transpose(m), m)
+    off = F.abs(F.col("v") - F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)) <= eps
+    width = m.agg(F.count_distinct("j").alias("width"), F.max("i").alias("top"), F.max("j").alias("last"))
+    found = own.agg(F.coalesce(F.every(off), F.lit(False)).alias("near"), F.sum(F.when(F.col("i") == F.col("j"), 1).otherwise(0)).alias("on_diagonal"))
+    return found.join(width, F.lit(True)).select((F.col("near") & (F.col("on_diagonal") == F.col("last") + 1) & (F.col("top") == F.col("last"))).alias("is_orthogonal"))
+
+
 def symmetrized(upper: DataFrame) -> DataFrame:
     return upper.unionByName(transpose(upper.where("i < j")))
 
@@ -93,6 +211,11 @@ def trace(m: DataFrame) -> DataFrame:
     return m.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("v")).otherwise(0.0)).alias("trace"))
 
 
+def frobenius(m: DataFrame) -> DataFrame:
+    """The norm over all entries stored."""
+    return m.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("frobenius"))
+
+
 def frobenius_upper(m: DataFrame) -> DataFrame:
     """The norm of a symmetric matrix from its upper triangle: off-diagonal entries count twice."""
     w = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)

@@ -20,8 +20,6 @@ def interpolate(points: DataFrame, queries: DataFrame, by: str, linear: bool = T
     return t.select(by, "x", y.alias("y"))
 
 
-def independent_k(key: Column, salt: Column, share: float) -> Column:
-    """Whether a coordinate is kept, each by itself with the chance given."""
-    from ..functions.scalar import uniform
-
-    return uniform(key, salt) < share
+def independent_k(u: Column, share: float) -> Column:
+    """Whether a coordinate is kept, each by itself with the chance given; u: uniform numbers in [0, 1)."""
+    return u < share

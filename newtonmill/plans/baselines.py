@@ -170,22 +170,33 @@ def cubic_step(g: np.ndarray, h: np.ndarray, m: float) -> np.ndarray:
 
 
 def matrix_compressor(name: str, d: int, k: int) -> Callable[[np.ndarray, np.random.Generator], np.ndarray]:
-    """Compressors of symmetric matrices: topk, randk, rank."""
+    """Compressors of symmetric matrices: topk, randk (unbiased: entries times their number over k), rank, and powersgd from a random start."""
 
     def apply(m: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         if name == "rank":
             return low_rank(m, k)
+        if name == "powersgd":
+            return power_sgd(m, rng.normal(size=(d, k)))
         v, n = packed(m), d * (d + 1) // 2
         at = top_k(v, k) if name == "topk" else rng.choice(n, k, replace=False)
         out = np.zeros(n)
-        out[at] = v[at]
+        out[at] = v[at] * (n / k if name == "randk" else 1.0)
         return unpacked(out, d)
 
-    if name not in ("topk", "randk", "rank"):
+    if name not in ("topk", "randk", "rank", "powersgd"):
         raise ValueError(f"unknown compressor {name}")
     return apply
 
 
+def contraction(name: str, m: np.ndarray, k: int) -> float:
+    """The share of the squared norm that a compressor is sure to keep, or for rank what it keeps of this matrix; randk has n / k - 1 as its variance instead."""
+    n = len(m) * (len(m) + 1) // 2
+    if name == "rank":
+        w = np.sort(np.abs(np.linalg.eigvalsh(m)))[::-1] ** 2
+        return float(w[:k].sum() / w.sum()) if w.sum() else 0.0
+    return {"topk": k / n, "powersgd": 0.1, "randk": n / k - 1}[name]
+
+
 def diana(problem: Logistic, rounds: int, compress: Vectors, x0=None, down: Vectors | None = None, seed: int = 0) -> Run:
     """Gradient steps with compressed differences to learned shifts; with down, the step to the clients is compressed too (as in DORE and Artemis)."""
     run = Run(problem, x0, seed)

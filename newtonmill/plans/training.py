@@ -84,12 +84,17 @@ def client_sums(samples: DataFrame, x: np.ndarray, second: bool = True) -> DataF
     def kernel(batches):
         held: dict[int, list] = {}
         for batch in batches:
+            # a batch is put in the order of its clients once, and each client's samples are a slice of it
             owner, a = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            for c in np.unique(owner).tolist():
-                own = a[owner == c]
-                m = own @ x
-                s = 1 / (1 + np.exp(-np.clip(m, -700, 700)))
-                parts = [len(own), float(np.sum(np.maximum(-m, 0) + np.log1p(np.exp(-np.abs(m))))), -((1 - s) @ own), packed((own * (s * (1 - s))[:, None]).T @ own) if second else np.zeros(0)]
+            order = np.argsort(owner, kind="stable")
+            owner, a = owner[order], a[order]
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, int)
+            margins = a @ x
+            sigmoid = 1 / (1 + np.exp(-np.clip(margins, -700, 700)))
+            losses = np.add.reduceat(np.maximum(-margins, 0) + np.log1p(np.exp(-np.abs(margins))), first) if len(first) else ()
+            for c, i, j, loss in zip(owner[first].tolist(), first, [*first[1:], len(owner)], losses):
+                own, s = a[i:j], sigmoid[i:j]
+                parts = [len(own), float(loss), -((1 - s) @ own), packed((own * (s * (1 - s))[:, None]).T @ own) if second else np.zeros(0)]
                 held[c] = [p + q for p, q in zip(held[c], parts)] if c in held else parts
         if held:
             yield pa.RecordBatch.from_pydict({"client_id": pa.array(held, pa.int32()), "n": pa.array([p[0] for p in held.values()], pa.int64()), "loss": [p[1] for p in held.values()], "g": [p[2].tobytes() for p in held.values()], "h": [p[3].tobytes() for p in held.values()]})
@@ -275,16 +280,45 @@ def _gradient_descent(samples: DataFrame, config: TrainConfig, x: np.ndarray) ->
     rate = config.global_lr if config.global_lr is not None else 2 / (lam + smoothness(samples, lam))
     result = TrainResult(x, d, 0)
     for k in range(config.rounds):
-        rows = client_sums(samples, x, second=False).collect()
-        result.clients = len(rows)
-        g = np.mean([_doubles(bytes(r.g)) / r.n for r in rows], axis=0) + lam * x
-        f = float(np.mean([r.loss / r.n for r in rows])) + lam / 2 * float(x @ x)
-        result.log.append((k, float(np.linalg.norm(g)), f, float(np.linalg.norm(x)), 8.0 * d * len(rows) * k, 0.0, time.time() - began))
+        result.clients, f, g = mean_gradient(samples, x, lam)
+        result.log.append((k, float(np.linalg.norm(g)), f, float(np.linalg.norm(x)), 8.0 * d * result.clients * k, 0.0, time.time() - began))
         x = x - rate * config.step_multiplier * g
         result.x = x
     return result
 
 
+def mean_gradient(samples: DataFrame, x: np.ndarray, lam: float) -> tuple[int, float, np.ndarray]:
+    """Clients, and the means over them of the objective and its gradient. Each task adds up its clients, so a row for each task comes to the driver."""
+
+    def kernel(batches):
+        n, f, g = 0, 0.0, np.zeros(len(x))
+        for batch in batches:
+            for size, loss, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                n, f, g = n + 1, f + loss / size, g + _doubles(own) / size
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "f": [f], "g": [g.tobytes()]})
+
+    n, f, g = 0, 0.0, np.zeros(len(x))
+    for r in client_sums(samples, x, second=False).select("n", "loss", "g").mapInArrow(kernel, "n long, f double, g binary").toLocalIterator():
+        n, f, g = n + r.n, f + r.f, g + _doubles(bytes(r.g))
+    return n, f / max(1, n) + lam / 2 * float(x @ x), g / max(1, n) + lam * x
+
+
+def gram_times(samples: DataFrame, v: np.ndarray) -> tuple[np.ndarray, int]:
+    """Samples' transpose times samples times v, and the number of samples: one pass, a vector for each task comes to the driver."""
+
+    def kernel(batches):
+        total, n = np.zeros(len(v)), 0
+        for batch in batches:
+            a = _matrix(batch.column(0))
+            total, n = total + (a @ v) @ a, n + len(a)
+        yield pa.RecordBatch.from_pydict({"w": [total.tobytes()], "n": pa.array([n], pa.int64())})
+
+    w, n = np.zeros(len(v)), 0
+    for r in samples.select("features").mapInArrow(kernel, "w binary, n long").toLocalIterator():
+        w, n = w + _doubles(bytes(r.w)), n + r.n
+    return w, n
+
+
 def gram(samples: DataFrame, d: int) -> tuple[np.ndarray, int]:
     """Sum of the samples' outer products and their number; one packed triangle for each task comes to the driver."""
 
@@ -301,13 +335,25 @@ def gram(samples: DataFrame, d: int) -> tuple[np.ndarray, int]:
     return unpacked(total, d), n
 
 
-def smoothness(samples: DataFrame, lam: float, eps: float = 1e-10, most: int = 1000) -> float:
+#: Features up to which the Gram matrix goes to the driver; beyond, each step of a power iteration is a pass over the samples.
+GRAM_FEATURES = 2048
+
+
+def smoothness(samples: DataFrame, lam: float, eps: float = 1e-10, most: int = 1000, gram_features: int = GRAM_FEATURES) -> float:
     """The greatest eigenvalue of the Gram matrix over 4 m by power iteration, plus lam."""
     d = samples.select(F.size("features").alias("d")).first().d
-    m, n = gram(samples, d)
-    m, v, value = m / (4 * n), np.ones(d), 0.0
+    if d <= gram_features:
+        m, n = gram(samples, d)
+        times = lambda v: m @ v / (4 * n)
+    else:
+
+        def times(v: np.ndarray) -> np.ndarray:
+            w, n = gram_times(samples, v)
+            return w / (4 * n)
+
+    v, value = np.ones(d), 0.0
     for _ in range(most):
-        w = m @ v
+        w = times(v)
         top = float(np.abs(w).max())
         if top == 0 or abs(top - value) <= eps * top:
             value = top

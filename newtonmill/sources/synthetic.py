@@ -19,7 +19,8 @@ def uniform_classes(spark: SparkSession, samples: int, d: int, seed: int, classe
     counts = [int(samples * share) for _, share in classes[:-1]]
     bounds = np.cumsum([*counts, samples - sum(counts)]).tolist()
     step = next(k for k in range((2654435761 + 2 * seed) % samples | 1, 3 * samples + 3) if np.gcd(k, samples) == 1)
-    place = F.pmod(F.col("id") * F.lit(step) + F.lit(seed), F.lit(samples))
+    wide = lambda x: x.cast("decimal(38,0)")  # noqa: E731  a long would overflow from some three thousand million samples on
+    place = F.pmod(wide(F.col("id")) * wide(F.lit(step % samples)) + wide(F.lit(seed % samples)), wide(F.lit(samples))).cast("long")
     label = F.lit(float(classes[-1][0]))
     for (value, _), bound in reversed(list(zip(classes[:-1], bounds[:-1]))):
         label = F.when(place < bound, float(value)).otherwise(label)
