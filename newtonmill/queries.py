@@ -12,6 +12,7 @@ from .operators import matrix as M
 from .operators import oracles as O
 from .operators import partition as P
 from .sources import svm
+from .sources.synthetic import class_step
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -116,10 +117,9 @@ def token_split(spark, sf_dir):
     return svm_lines(spark, sf_dir).select("id", parts.alias("t")).select("id", F.size("t").alias("n"), F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"))
 
 
-@query("SELECT count(*) AS lines, CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS breaks FROM documents WHERE length(trim(text)) > 0")
+@query(r"SELECT CAST(sum(len(regexp_extract_all(replace(text, chr(13), ''), '\n+'))) AS BIGINT) AS lines FROM documents")
 def nonempty_lines(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").where(F.length(F.trim("text")) > 0)
-    return t.agg(F.count("*").alias("lines"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("breaks"))
+    return table(spark, sf_dir, "documents").agg(F.sum(S.nonempty_lines(F.col("text"))).alias("lines"))
 
 
 @query(f"WITH {SQL_PARSED} SELECT B.id, concat_ws(' ', CASE WHEN label < 1.5 THEN '-1' ELSE '+1' END, string_agg((i - 1) || ':' || CAST(CAST(v AS DOUBLE) AS VARCHAR), ' ' ORDER BY i)) || CASE WHEN count(i) = 0 THEN ' ' ELSE '' END AS line FROM B LEFT JOIN E ON B.id = E.id GROUP BY B.id, label")
@@ -148,7 +148,7 @@ def client_balance(spark, sf_dir):
     return P.class_balance(dealt(spark, sf_dir))
 
 
-@query(f"WITH {SQL_DEALT} SELECT 0::BIGINT AS twice, 0::BIGINT AS unknown, count(*) FILTER (client_id IS NULL) AS left_over, true AS ok FROM T")
+@query(f"WITH {SQL_DEALT}, P AS (SELECT sample_id, count(*) AS c FROM T WHERE client_id IS NOT NULL GROUP BY sample_id), C AS (SELECT (SELECT count(*) FROM P WHERE c > 1) AS twice, (SELECT count(*) FROM P WHERE sample_id NOT IN (SELECT unnest(range(n)) FROM N)) AS unknown, (SELECT count(*) FROM N, unnest(range(n)) r(k) WHERE k NOT IN (SELECT sample_id FROM P)) AS left_over) SELECT twice, unknown, left_over, twice = 0 AND unknown = 0 AND left_over = n % {CLIENTS} AS ok FROM C, N")
 def split_check(spark, sf_dir):
     t = dealt(spark, sf_dir).select("sample_id", "client_id")
     n = table(spark, sf_dir, "lineitem").count()
@@ -564,9 +564,13 @@ def md5_digest(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest"))
 
 
-@query()
+#: The table of the reflected CRC-32 polynomial by its rule, and a fold over the bytes without the final inversion.
+SQL_CRC = "WITH B AS (SELECT list(list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS t FROM range(256) r(k)), H AS (SELECT p_partkey, hex(encode(concat_ws('/', p_name, p_brand, p_type))) AS x FROM part), Y AS (SELECT p_partkey, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2*i + 1, 2))::BIGINT) AS b FROM H) SELECT p_partkey, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1])) AS crc FROM Y, B"
+
+
+@query(SQL_CRC)
 def crc_digest(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", S.crc32_open(F.col("text").cast("binary")).alias("crc"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.crc32_open(F.concat_ws("/", "p_name", "p_brand", "p_type").cast("binary")).alias("crc"))
 
 
 # --- training: rows without SQL ---------------------------------------------------------------------------------------
@@ -671,7 +675,7 @@ def synthetic_federated(spark, sf_dir):
     return t.groupBy("client_id").agg(F.count("*").alias("n"), F.round(F.avg("label"), 6).alias("mean_label"))
 
 
-@query("SELECT c AS label, CASE c WHEN -1 THEN 300 ELSE 700 END::BIGINT AS n FROM (SELECT unnest([-1.0::DOUBLE, 1.0::DOUBLE]) AS c)")
+@query(f"SELECT CASE WHEN (k*{class_step(1000, 5)} + 5) % 1000 < floor(1000*0.3::DOUBLE) THEN -1::DOUBLE ELSE 1::DOUBLE END AS label, count(*) AS n FROM range(1000) r(k) GROUP BY 1")
 def synthetic_classes(spark, sf_dir):
     from .sources.synthetic import uniform_classes
 
@@ -713,3 +717,6 @@ def top_orders(spark, sf_dir):
 def upper_difference(spark, sf_dir):
     m = matrix(spark, sf_dir)
     return M.upper_difference(m, M.transpose(m))
+
+
+from . import queries_linear  # noqa: E402, F401  registers the rest

@@ -11,6 +11,11 @@ from ..functions.scalar import uniform
 RULES = {"unit": (0.0, 1.0), "signed": (-1.0, 1.0), "wide": (-10.0, 10.0)}
 
 
+def class_step(samples: int, seed: int) -> int:
+    """The factor of the bijection of row numbers that deals out classes: the next odd number without a common divisor."""
+    return next(k for k in range((2654435761 + 2 * seed) % samples | 1, 3 * samples + 3) if np.gcd(k, samples) == 1)
+
+
 def uniform_classes(spark: SparkSession, samples: int, d: int, seed: int, classes: list[tuple[float, float]], rule: str = "signed") -> DataFrame:
     """(sample_id, label, features): uniform features, and classes (label, share) with exact counts in a seeded order; the last class takes the rest.
 
@@ -18,7 +23,7 @@ def uniform_classes(spark: SparkSession, samples: int, d: int, seed: int, classe
     low, high = RULES[rule]
     counts = [int(samples * share) for _, share in classes[:-1]]
     bounds = np.cumsum([*counts, samples - sum(counts)]).tolist()
-    step = next(k for k in range((2654435761 + 2 * seed) % samples | 1, 3 * samples + 3) if np.gcd(k, samples) == 1)
+    step = class_step(samples, seed)
     wide = lambda x: x.cast("decimal(38,0)")  # noqa: E731  a long would overflow from some three thousand million samples on
     place = F.pmod(wide(F.col("id")) * wide(F.lit(step % samples)) + wide(F.lit(seed % samples)), wide(F.lit(samples))).cast("long")
     label = F.lit(float(classes[-1][0]))
