@@ -1,12 +1,14 @@
-"""Substring removal: passages of at least `length` words that an earlier document has too, by one doubling of windows.
-
-The first of two levels has windows of half the length, the other the whole length; windows repeated at one level alone are
-extended to the next. Not every half window is looked at: each window of the whole length elects the half window in it
-with the least hash, its anchor, so equal windows elect equal anchors and one anchor in a dozen words suffices. The
-windows of a document that share an anchor are a span. An anchor that two documents have is a candidate, and its spans
-are extended together: a span that an earlier document has word for word is settled without looking at its windows.
-Only at the edges of repeats, where the spans of one anchor differ, are windows compared one by one. No
-longer windows are looked at, for a longer repeat consists of windows of this length.
+"""Substring removal: passages of at least `length` words that an earlier document has too, by doubling of windows level by level.
+
+Levels have windows of length, half of it, a quarter and so on, down to about LEAST words; windows repeated at one level
+alone are extended to the next, until no candidates survive or `length` is reached. Not every short window is looked at:
+each window of one level elects the window of half its length in it with the least hash, its anchor, so equal windows
+elect equal anchors, and a candidate is a chain of anchors, one inside the other. The windows of `length` words of a
+document that share a chain are a span, one in a dozen words or so; a span whose anchor no other document has is dropped
+at that level. In the last step, from half the length to the whole, the spans of one anchor are extended together: a span
+that an earlier document has word for word is settled without looking at its windows. Only at the edges of repeats, where
+the spans of one anchor differ, are windows compared one by one. No longer windows are looked at, for a longer repeat
+consists of windows of this length.
 
 Every count is taken before a shuffle, so a passage that a third of all documents share is one row for each task.
 """
@@ -19,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import save, small
+from .store import drop, save, small
 
 U = np.uint64
+#: Words of a window of the first level, at least.
+LEAST = 13
 RANGES = "array<struct<at:int,n:int,open:boolean,anchor:long>>"
 WINDOWS = pa.list_(pa.struct([("anchor", pa.int64()), ("at", pa.int32()), ("hash", pa.int64())]))
 
@@ -36,14 +40,24 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def levels(length: int) -> list[int]:
+    """The window lengths below `length`, shortest first, each at least half of the next."""
+    out = [-(-length // 2)]
+    while -(-out[0] // 2) >= LEAST:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
 def spans(docs: DataFrame, length: int) -> DataFrame:
-    """(id, key, at, n, anchor, span): n windows from word `at` on share an anchor; span hashes their words and the anchor's place. docs: (id, key, text)."""
-    half = -(-length // 2)
+    """(id, key, at, n, a0, a1, ..., span): n windows from word `at` on share a chain of anchors, a0 the hash of the shortest; span hashes their words and the last anchor's place. docs: (id, key, text)."""
+    below = levels(length)
+    half, names = below[-1], [f"a{k}" for k in range(len(below))]
 
     def kernel(batches):
         for batch in small(batches):
             words = W.scan(batch.column(2))
-            h, owner = W.runs(words.hashes, half), np.repeat(np.arange(len(words)), np.diff(words.first))
+            hashes = [W.runs(words.hashes, n) for n in below]
+            h, owner = hashes[-1], np.repeat(np.arange(len(words)), np.diff(words.first))
             width, total = length - half + 1, len(words.hashes) - length + 1
             if total < 1:
                 continue
@@ -57,14 +71,32 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
             s, a = start[begin], anchor[begin]
             end = s + n + length - 1
             whole = W.mix(h[s] + W.mix(h[np.minimum(s + half, end - half)] ^ U(1)) + W.mix(h[end - half] ^ U(2)) + (n * 4096 + a - s).astype(U) * U(0x9E3779B97F4A7C15))
+            chain, inside = [h[a]], a
+            for own, shorter, longer in zip(hashes[-2::-1], below[-2::-1], below[::-1]):
+                inside = _least(own, longer - shorter + 1)[inside]
+                chain.insert(0, own[inside])
             doc = pa.array(owner[s])
             at = (s - words.first[owner[s]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(doc), batch.column(1).take(doc), pa.array(at), pa.array(n, pa.int32()), pa.array(h[a].view(np.int64)), pa.array(whole.view(np.int64))],
-                ["id", "key", "at", "n", "anchor", "span"],
+                [batch.column(0).take(doc), batch.column(1).take(doc), pa.array(at), pa.array(n, pa.int32()), *(pa.array(x.view(np.int64)) for x in chain), pa.array(whole.view(np.int64))],
+                ["id", "key", "at", "n", *names, "span"],
             )
 
-    return docs.where("id is not null").mapInArrow(kernel, "id long, key long, at int, n int, anchor long, span long")
+    return docs.where("id is not null").mapInArrow(kernel, f"id long, key long, at int, n int, {', '.join(f'{n} long' for n in names)}, span long")
+
+
+def repeated_spans(found: DataFrame) -> DataFrame:
+    """(id, key, at, n, anchor, span) of the spans whose anchors of every level stand in several documents, level by level."""
+    chain = [c for c in found.columns if c[0] == "a" and c[1:].isdigit()]
+    for name in chain:
+        shared = save(found.groupBy(name).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(name))
+        left = found.join(shared, name)
+        found, before = save(left if name == chain[-1] else left.drop(name)), found
+        for used in (before, shared):
+            drop(used)
+        if found.isEmpty():  # no candidates survive: longer windows cannot be repeated
+            break
+    return found.select("id", "key", "at", "n", F.col(chain[-1]).alias("anchor"), "span")
 
 
 def _strip(docs: DataFrame, length: int) -> DataFrame:
@@ -116,17 +148,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    found = save(spans(rows, length))
-    repeated = save(found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("anchor"))
-    candidates = save(found.join(repeated, "anchor"))
+    candidates = repeated_spans(save(spans(rows, length)))
     kinds = save(candidates.groupBy("anchor", "span").agg(F.min("id").alias("first")))
     varied = save(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"))
     judged = candidates.join(kinds, ["anchor", "span"])
     settled = judged.where("id > first").select("id", "key", F.struct("at", "n", F.lit(False).alias("open"), F.lit(None).cast("long").alias("anchor")).alias("r"))
     undecided = judged.where("id = first").join(varied, "anchor").select("id", "key", F.struct("at", "n", F.lit(True).alias("open"), "anchor").alias("r"))
-    # as many ranges as a document's own length allows
-    ranges = settled.unionAll(undecided).groupBy("id", "key").agg(F.collect_list("r").alias("ranges"))
+    # as many ranges as a document's own length allows; equal rows have equal ones, which count once
+    ranges = settled.unionAll(undecided).groupBy("id", "key").agg(F.collect_set("r").alias("ranges"))
     stripped = save(_strip(rows.join(ranges, ["id", "key"], "left"), length))
+    for used in (candidates, kinds, varied):
+        drop(used)
     windows = stripped.select("id", "key", F.explode("windows").alias("w")).select("id", "key", "w.anchor", "w.at", "w.hash")
     early = save(windows.groupBy("anchor", "hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("anchor", "hash", "first"))
     covered = windows.join(early, ["anchor", "hash"]).where("id > first").distinct().groupBy("id", "key").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), F.lit(False).alias("open"), F.lit(None).cast("long").alias("anchor"))).alias("covered"))
