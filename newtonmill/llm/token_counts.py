@@ -2,10 +2,10 @@
 
 A pre-token's number of pieces does not depend on what stands around it. Texts are taken apart in blocks of bounded
 size: a block has a list of its distinct pre-tokens, and for each document how often it has which of them, by their
-places in the list. The distinct pre-tokens of all blocks are a table, each counted once with the library. The counts are
-joined back to the blocks' lists, and each block sums frequencies times counts. What is shuffled are the lists, which are
-far smaller than the texts as a block names each pre-token once, and the packed frequencies; nothing is broadcast, and no
-group is larger than a block.
+places in the list. The lists of all blocks meet by pre-token, equal ones side by side, and each is counted once with
+the library; the counts go back to the blocks by block and place, and each block sums frequencies times counts. What is
+shuffled are the lists, which are far smaller than the texts as a block names each pre-token once, the counts and the
+frequencies, both packed; nothing is broadcast, and no group is larger than a block.
 """
 
 import os
@@ -28,7 +28,9 @@ DOUBLE = r"[\s\x0b\x{85}\p{Z}]{2}|\x00"
 #: Marks a text's first chunk, before which no space stands.
 FIRST = "\0"
 #: Bytes of text in a block, at least, unless a task has fewer.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Counted pre-tokens that are put in the order of their blocks at a time.
+TOLD_ROWS = 1 << 18
 
 
 class PreTokens:
@@ -100,7 +102,7 @@ def frequencies(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataF
             step = np.diff(code, prepend=0)
             new = np.diff(owner, prepend=-1) != 0
             step[new] = code[new]
-            streams = [pa.array([b"".join(_told(x))], pa.binary()) for x in (step, counts - 1)]
+            streams = [pa.array([_packed(x)], pa.binary()) for x in (step, counts - 1)]
             alone = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             n_pairs = pa.array(np.bincount(owner, minlength=len(texts)), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array([task + k], pa.int64()), alone(pa.concat_arrays(ids)), alone(pc.binary_length(texts).cast(pa.int64())), alone(n_pairs), *streams, alone(pa.array(names, pa.string()))], ["block", "ids", "n_bytes", "n_pairs", "codes", "counts", "pretokens"])
@@ -120,19 +122,22 @@ def frequencies(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataF
     return rows.mapInArrow(kernel, f"block long, ids array<{kind}>, n_bytes array<long>, n_pairs array<int>, codes binary, counts binary, pretokens array<string>")
 
 
-def _told(values: np.ndarray) -> tuple[bytes, bytes, bytes]:
+def _packed(values: np.ndarray) -> bytes:
+    """Integers in the byte-aligned code of token files, compressed where they are many."""
     control, data = pack(values)
-    return len(values).to_bytes(8, "little"), control, data
+    raw = len(values).to_bytes(8, "little") + control + data
+    return b"\0" + raw if len(raw) < 1024 else b"\1" + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _read(stream: bytes) -> np.ndarray:
-    n = int.from_bytes(stream[:8], "little")
+def _unpacked(stream: bytes) -> np.ndarray:
+    raw = stream[1:] if stream[:1] == b"\0" else pa.decompress(stream[9:], int.from_bytes(stream[1:9], "little"), "zstd", asbytes=True)
+    n = int.from_bytes(raw[:8], "little")
     border = 8 + -(-n // 4)
-    return unpack(stream[8:border], stream[border:], n).astype(np.int64)
+    return unpack(raw[8:border], raw[border:], n).astype(np.int64)
 
 
-def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
-    """(pretoken, pieces) of distinct pre-tokens, by the library; no ids leave it."""
+def piece_counts(words: DataFrame, path: str) -> DataFrame:
+    """(block, places, pieces) of rows (block, place, pretoken): each distinct pre-token is counted once, as equal ones follow each other; no ids leave the library. Places ascend, and both lists are packed."""
 
     def kernel(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -141,11 +146,37 @@ def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
         library = Tokenizer.from_file(path)
         library.no_truncation()
         library.no_padding()
-        for batch in small(batches, 4096):
-            found = library.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, found)), pa.int32())], ["pretoken", "pieces"])
+        last, count, held, size = None, 0, [], 0
+
+        def rows():
+            block, place, n = (np.concatenate([x[k] for x in held]) for k in range(3))
+            order = np.lexsort((place, block))
+            block, place, n = block[order], place[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            ends = [*first[1:].tolist(), len(block)]
+            streams = [[_packed(f(i, j)) for i, j in zip(first.tolist(), ends)] for f in (lambda i, j: np.diff(place[i:j], prepend=0), lambda i, j: n[i:j])]
+            return pa.RecordBatch.from_arrays([pa.array(block[first]), *(pa.array(x, pa.binary()) for x in streams)], ["block", "places", "pieces"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(2)
+            new = np.ones(len(own), bool)
+            new[1:] = pc.not_equal(own.slice(1), own.slice(0, len(own) - 1)).to_numpy(zero_copy_only=False)
+            new[0] = own[0].as_py() != last
+            fresh = own.filter(pa.array(new)).to_pylist()
+            found = np.array([count, *map(len, library.encode_batch_fast(fresh, add_special_tokens=False))], np.int64)
+            last, count = own[-1].as_py(), int(found[-1])
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), found[np.cumsum(new)]))
+            size += len(own)
+            if size >= TOLD_ROWS:
+                yield rows()
+                held, size = [], 0
+        if held:
+            yield rows()
 
-    return pretokens.mapInArrow(kernel, "pretoken string, pieces int")
+    ordered = words.repartition("pretoken").sortWithinPartitions("pretoken")
+    return ordered.select("block", "place", "pretoken").mapInArrow(kernel, "block long, places binary, pieces binary")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,24 +189,23 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
     def kernel(batches):
         for batch in small(batches, 16):
-            for ids, sizes, n_pairs, codes, counts, places, pieces in zip(*(batch.column(k) for k in range(7))):
-                by_place = np.zeros(len(places) + 1, np.int64)
-                by_place[places.values.to_numpy()] = pieces.values.to_numpy()
+            for ids, sizes, n_pairs, codes, counts, told, width in zip(*(batch.column(k) for k in range(7))):
+                pieces = np.zeros(width.as_py() + 1, np.int64)
+                for x in told.as_py():
+                    pieces[np.cumsum(_unpacked(x["places"]))] = _unpacked(x["pieces"])
                 n = n_pairs.values.to_numpy().astype(np.int64)
                 ends = np.cumsum(n)
-                steps = np.cumsum(_read(codes.as_py()))
-                before = np.concatenate([[0], steps])[ends - n]
-                of = by_place[steps - np.repeat(before, n)] * _read(counts.as_py())  # counts less one
-                of += by_place[steps - np.repeat(before, n)]
-                sums = np.concatenate([[0], np.cumsum(of)])
+                steps = np.cumsum(_unpacked(codes.as_py()))
+                place = steps - np.repeat(np.concatenate([[0], steps])[ends - n], n)
+                sums = np.concatenate([[0], np.cumsum(pieces[place] * (_unpacked(counts.as_py()) + 1))])
                 total = sums[ends] - sums[ends - n]
                 yield pa.RecordBatch.from_arrays([ids.values, sizes.values, pa.array(total, pa.int64()), pa.array(total > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = save(frequencies(docs, path, id_col, text_col))
     words = blocks.select("block", F.posexplode("pretokens").alias("place", "pretoken"))
-    counted = save(piece_counts(words.select("pretoken").distinct(), path))
-    told = words.join(counted, "pretoken").groupBy("block").agg(F.collect_list(F.struct("place", "pieces")).alias("x")).select("block", F.col("x.place").alias("places"), F.col("x.pieces").alias("pieces"))
-    nothing = F.array().cast("array<int>")
-    rows = blocks.join(told, "block", "left").select("ids", "n_bytes", "n_pairs", "codes", "counts", F.coalesce("places", nothing), F.coalesce("pieces", nothing))
+    told = piece_counts(words, path).groupBy("block").agg(F.collect_list(F.struct("places", "pieces")).alias("told"))
+    rows = blocks.withColumn("width", F.size("pretokens")).drop("pretokens").join(told, "block", "left")
+    nothing = F.array().cast("array<struct<places:binary,pieces:binary>>")
+    rows = rows.select("ids", "n_bytes", "n_pairs", "codes", "counts", F.coalesce("told", nothing), "width")
     return rows.mapInArrow(kernel, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

@@ -47,6 +47,7 @@ def test_every_token_is_its_own_encoding():
 @pytest.mark.parametrize("block", [1 << 10, 8 << 20])
 def test_token_counts_equal_the_library(spark, monkeypatch, block):
     monkeypatch.setattr(T, "BLOCK_BYTES", block)
+    monkeypatch.setattr(T, "TOLD_ROWS", block)
     library, data = Tokenizer.from_file(BYTE), [*texts(), "word " * 300_000, "漢" * 3000, " ", "\n", " lead", "trail ", "\n\nx\n y"]
     df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(3).selectExpr("*", "1 as block", "2 as codes")
     found = {r.doc_id: r for r in token_counts(df, BYTE).collect()}
@@ -56,13 +57,17 @@ def test_token_counts_equal_the_library(spark, monkeypatch, block):
         assert (found[k].n_bytes, found[k].n_tokens, found[k].over_limit) == (len(t.encode()), n, n > 1024), t[:100]
 
 
-def test_pretokens_are_counted_once(spark):
-    """No pre-token comes twice to the library, whatever the number of blocks."""
+def test_counts_go_back_to_their_blocks(spark):
+    """Every block's pre-tokens get their counts, whatever the number of blocks."""
     df = spark.createDataFrame([(k, "the same words in every row and a new one" + str(k)) for k in range(400)], "doc_id long, text string").repartition(4)
     lists = [r.pretokens for r in T.frequencies(df, BYTE, "doc_id", "text").collect()]
     assert len(lists) == 4 and all(len(x) == len(set(x)) for x in lists)
-    words = spark.createDataFrame([(w,) for x in lists for w in x], "pretoken string").distinct()
-    assert words.count() == len({w for x in lists for w in x}) < sum(map(len, lists)) and T.piece_counts(words, BYTE).count() == words.count()
+    words = [(b, k, w) for b, x in enumerate(lists) for k, w in enumerate(x)]
+    told = T.piece_counts(spark.createDataFrame(words, "block long, place int, pretoken string"), BYTE).collect()
+    library, found = Tokenizer.from_file(BYTE), {}
+    for r in told:
+        found |= {(r.block, p): n for p, n in zip(np.cumsum(T._unpacked(r.places)).tolist(), T._unpacked(r.pieces).tolist())}
+    assert found == {(b, k): len(library.encode(w).ids) for b, k, w in words} and len(words) > len({w for _, _, w in words})
 
 
 @pytest.mark.parametrize(("field", "value"), [("normalizer", {"type": "NFKC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("added_tokens", [{"id": 1, "content": "x", "single_word": True, "lstrip": False, "rstrip": False, "normalized": False}])])
