@@ -7,10 +7,12 @@ lies far below the threshold.
 
 Copies: documents with the same shingle set are one node, so copies are never paired. Within a band's bucket every
 node meets the least node first; what the confirmed links already join is settled. Nodes that led to the same least
-node are a family. Where it still holds several components, blocks of bounded size meet, and their exact links come
-out, never their pairs; where a bucket still holds several families and components, the sketches choose the pairs. So
-no pair that shares a bucket goes untested unless it is joined anyway. With 40 bands of 4 samples a pair of similarity
-0.75 shares no bucket once in four million.
+node are a family. Where it still holds several components, blocks of its sketches meet, of a few dozen bytes a node:
+each node goes to the exact comparison with the one it is likeliest to be linked with, and what this does not settle, the
+nodes whose sketches leave another component open, meets again with texts, in blocks of bounded size from which the exact
+links come out, never the pairs. Where a bucket still holds several families and components, the sketches choose the
+pairs. So no pair that shares a bucket goes untested unless it is joined anyway or its sketches rule it out. With 40
+bands of 4 samples a pair of similarity 0.75 shares no bucket once in four million.
 """
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .graph import components
-from .store import save, small
+from .store import drop, save, small
 
 U = np.uint64
 #: MinHash samples, all of which enter the odd sketch; the first BANDS * ROWS also make the bands.
@@ -28,8 +30,8 @@ SAMPLES, BANDS, ROWS, BITS = 256, 40, 4, 512
 LONGS = BITS // 64
 #: Standard deviations by which a sketch may stray from what a pair at the threshold shows.
 SLACK = 5.5
-#: Members of a bucket or family that meet in one task, and bytes of their texts.
-BLOCK, BLOCK_BYTES = 256, 8 << 20
+#: Members of a bucket or family in a block, at least, and at most where it has very many; members and bytes in a block of texts.
+BLOCK, WIDE, TEXTS, BLOCK_BYTES = 64, 4096, 256, 8 << 20
 #: Shared shingles in one product of indicator matrices.
 COLUMNS = 4096
 _rng = np.random.default_rng(5)
@@ -69,6 +71,12 @@ def most_differing_bits(threshold: float) -> int:
     return min(BITS, int(mean + SLACK * (by_samples**2 + by_bits**2) ** 0.5) + 1)
 
 
+def estimate(differing: np.ndarray) -> np.ndarray:
+    """Similarities estimated from the population counts of XORs of sketches, the more precisely the higher they are."""
+    share = np.minimum(1 - 1 / BITS, 2 * np.asarray(differing) / BITS)
+    return np.maximum(0.0, 1 - np.log1p(-share) / np.log1p(-2 / BITS) / (2 * SAMPLES))
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """(id, text_key, n_shingles, set_a, set_b, bands, sketch) of each row; set_a and set_b hash the shingle set. Sets without members have no bands."""
 
@@ -127,13 +135,46 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> D
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(kernel, "a long, b long").distinct()
 
 
-def _dealt(members: DataFrame, by: str, size: str) -> DataFrame:
-    """Every pair of blocks (lo, hi) of each group `by` gets the rows of both; a group has a block for each BLOCK rows or BLOCK_BYTES of `size`."""
+def _dealt(members: DataFrame, by: str, blocks: Column) -> DataFrame:
+    """Every pair of blocks (lo, hi) of each group `by` gets the rows of both; blocks: an aggregate that gives their number."""
     # a table of its own, so that Spark can split a hot group's rows in the join
-    groups = save(members.groupBy(by).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(size) / BLOCK_BYTES)).cast("int").alias("blocks")))
+    groups = save(members.groupBy(by).agg(F.ceil(blocks).cast("int").alias("blocks")))
     dealt = members.join(groups, by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks", size)
+    return dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
+
+
+def _sketch_blocks() -> Column:
+    """Small blocks, so that they spread over all tasks; larger ones where a group has so many that their pairs would be too many."""
+    n = F.count("*")
+    return n / F.least(F.greatest(n / BLOCK, F.lit(BLOCK)), F.lit(WIDE))
+
+
+def _open_pairs(table: pa.Table, worst: int):
+    """For each row of two blocks, the rows of the other in another component that the sketches leave, and by how many bits they differ."""
+    part, block = (table.column(c).to_numpy() for c in ("component", "block"))
+    bits = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, LONGS).view(U)
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    sides = {(lo, hi), (hi, lo)}
+    for x, y in sides:
+        rows, cols = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        for r in rows.tolist():
+            c = cols[part[cols] != part[r]]
+            far = np.bitwise_count(bits[c] ^ bits[r]).sum(axis=1)
+            if np.any(far <= worst):
+                yield r, c[far <= worst], far[far <= worst]
+
+
+def _nearest(families: DataFrame, worst: int) -> DataFrame:
+    """(node, far, other): the node of another component in its family whose sketch differs least, for each node that the sketches leave one; families: (family, node, component, sketch)."""
+
+    def kernel(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        found = [(int(node[r]), int(far.min()), int(node[c[far == far.min()]].min())) for r, c, far in _open_pairs(table, worst)]
+        return pa.table({k: pa.array([x[i] for x in found], t) for i, (k, t) in enumerate((("node", pa.int64()), ("far", pa.int32()), ("other", pa.int64())))})
+
+    near = _dealt(families, "family", _sketch_blocks()).groupBy("family", "lo", "hi").applyInArrow(kernel, "node long, far int, other long")
+    return near.groupBy("node").agg(F.min(F.struct("far", "other")).alias("x")).select("node", "x.far", "x.other")
 
 
 def _within(families: DataFrame, percent: int, shingle: int) -> DataFrame:
@@ -173,7 +214,7 @@ def _within(families: DataFrame, percent: int, shingle: int) -> DataFrame:
             found = [(node[rows[r]], node[cols[c]]) for r, c in zip(*np.nonzero(linked))]
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    rows = _dealt(families.withColumn("size", F.octet_length("text")), "family", "size")
+    rows = _dealt(families, "family", F.greatest(F.count("*") / TEXTS, F.sum(F.octet_length("text")) / BLOCK_BYTES))
     return rows.groupBy("family", "lo", "hi").applyInArrow(kernel, "a long, b long")
 
 
@@ -181,18 +222,11 @@ def _across(members: DataFrame, worst: int) -> DataFrame:
     """Pairs (a, b) of one bucket but different families and components that the sketches leave; members: (key, node, family, component, sketch)."""
 
     def kernel(table: pa.Table) -> pa.Table:
-        node, part, family, block = (table.column(c).to_numpy() for c in ("node", "component", "family", "block"))
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        bits = np.array(table.column("sketch").to_pylist(), np.int64).reshape(-1, LONGS).view(U)
-        rows, cols, found = np.flatnonzero(block == lo), np.flatnonzero(block == hi), []
-        for r in rows.tolist():
-            c = cols[(part[cols] != part[r]) & (family[cols] != family[r])]
-            c = c[np.bitwise_count(bits[c] ^ bits[r]).sum(axis=1) <= worst]
-            found += [(max(node[r], x), min(node[r], x)) for x in node[c]]
+        node, family = (table.column(c).to_numpy() for c in ("node", "family"))
+        found = {(max(node[r], x), min(node[r], x)) for r, c, _ in _open_pairs(table, worst) for x in node[c[family[c] != family[r]]]}
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    rows = _dealt(members.withColumn("size", F.lit(0)), "key", "size")
-    return rows.groupBy("key", "lo", "hi").applyInArrow(kernel, "a long, b long").distinct()
+    return _dealt(members, "key", _sketch_blocks()).groupBy("key", "lo", "hi").applyInArrow(kernel, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = 5) -> DataFrame:
@@ -223,16 +257,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = save(pairs.groupBy("a").agg(F.min("b").alias("family")))
     second = pairs.join(first.select(F.col("a").alias("b"), F.col("family").alias("further")), "b", "left").groupBy("a").agg(F.min(F.least("b", F.coalesce("further", "b"))).alias("family"))
     family = second.unionAll(pairs.select("b", "b")).groupBy(F.col("a").alias("node")).agg(F.min("family").alias("family"))
-    known = save(buckets.select("node").distinct().join(joined, "node", "left").join(family, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("family", "node").alias("family")))
-    split = known.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("family")
-    families = known.join(save(split), "family").join(texts.select(F.col("id").alias("node"), "text"), "node")
-    links = save(links.unionAll(_within(families, percent, shingle)))
+    family = save(buckets.select("node").distinct().join(family, "node", "left").select("node", F.coalesce("family", "node").alias("family")))
+
+    def split(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(node, component, family) of all nodes in buckets, and of the families with several components alone, with their sketches."""
+        known = save(family.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "family"))
+        open_ = known.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("family")
+        return known, known.join(save(open_), "family").join(sketches, "node")
+
+    known, families = split(joined)
+    nearest = save(_nearest(families, worst))
+    likely = nearest.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
+    links = save(links.unionAll(confirm(likely, texts, percent, shingle)))
+    known, families = split(save(components(links)))
+    left = save(_nearest(families, worst)).select("node")
+    texts_of = texts.select(F.col("id").alias("node"), "text")
+    links = save(links.unionAll(_within(families.drop("sketch").join(left, "node").join(texts_of, "node"), percent, shingle)))
     parts = buckets.select("key", "node").join(known, "node")
-    split = parts.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("family").alias("v"), F.max("family").alias("w")).where("x < y and v < w").select("key")
-    rest = _across(parts.join(save(split), "key").join(sketches, "node"), worst).join(met, ["a", "b"], "left_anti")
+    several = parts.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("family").alias("v"), F.max("family").alias("w")).where("x < y and v < w").select("key")
+    rest = _across(parts.join(save(several), "key").join(sketches, "node"), worst).join(met, ["a", "b"], "left_anti")
     joined = save(components(links.unionAll(confirm(save(rest), texts, percent, shingle))))
     ids = nodes.join(joined, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("c"))
     ids = save(ids)
+    for used in (hubs, buckets, met, pairs, texts, first, family):
+        drop(used)
     # rows that share an id but not a text are one document
     doc = signed.join(ids, ["set_a", "set_b"], "left").select("id", "text_key", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
     return doc.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key")

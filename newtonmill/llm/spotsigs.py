@@ -61,7 +61,7 @@ def signatures(text: Column) -> Column:
 
 def fingerprint(signatures: Column) -> Column:
     """A set of signatures as a string: base64 of its members, eight bytes each, in order. It is whole, so it grows with the text."""
-    return F.regexp_replace(F.base64(F.unhex(F.array_join(F.transform(signatures, lambda x: F.lpad(F.hex(x), 16, "0")), ""))), r"\s", "")
+    return F.base64(F.unhex(F.array_join(F.transform(signatures, lambda x: F.lpad(F.hex(x), 16, "0")), "")))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from newtonmill.llm import minhash_dedup as M
+from newtonmill.llm import spotsigs, store, substring_dedup
 from newtonmill.llm.graph import components
-from newtonmill.llm import spotsigs
 from newtonmill.llm.spotsigs import compare_with_edits, near_by_signatures
-from newtonmill.llm.substring_dedup import remove_repeats
+from newtonmill.llm.substring_dedup import levels, remove_repeats, spans
 
 from . import cases
 
@@ -50,6 +50,7 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_a_family_around_a_missing_original(spark, monkeypatch):
     """Copies of one text, each edited apart: pairs lie on both sides of the threshold, and blocks are small."""
     monkeypatch.setattr(M, "BLOCK", 8)
+    monkeypatch.setattr(M, "TEXTS", 8)
     rng = np.random.default_rng(4)
     base = [f"w{k}" for k in range(200)]
     data = []
@@ -63,6 +64,40 @@ def test_a_family_around_a_missing_original(spark, monkeypatch):
     assert found == want
 
 
+def test_large_families_of_unlinked_and_linked_near_copies(spark):
+    """Thousands of copies of two texts, edited apart: of one all lie under the threshold, of the other most above it."""
+    rng = np.random.default_rng(6)
+    data, sets = [], {}
+    for f, (edits, n) in enumerate(((14, 1500), (3, 1500))):
+        base = [f"{'ab'[f]}{k}" for k in range(200)]
+        for i in range(n):
+            own = list(base)
+            for at in rng.choice(200, edits, replace=False):
+                own[at] = f"x{f}_{i}_{at}"
+            sets[len(data)] = cases.shingles(" ".join(own))
+            data.append((len(data), " ".join(own)))
+    codes: dict = {}
+    flat = [(i, codes.setdefault(g, len(codes))) for i, s in sets.items() for g in s]
+    seen = np.bincount([c for _, c in flat])
+    width = {c: k for k, c in enumerate(np.flatnonzero(seen > 1).tolist())}
+    m = np.zeros((len(data), len(width)), np.float32)
+    for i, c in flat:
+        if c in width:
+            m[i, width[c]] = 1
+    both, sizes = m @ m.T, np.array([len(sets[i]) for i in range(len(data))])
+    linked = 100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both)
+    label = np.arange(len(data))
+    while True:
+        least = np.where(linked, label[None, :], len(data)).min(axis=1)
+        least = np.minimum(least, label)
+        if np.array_equal(least, label):
+            break
+        label = least
+    found = {r.doc_id: r.component_id for r in M.near_duplicates(cases.frame(spark, data, more=False)).collect()}
+    assert [found[i] for i in range(len(data))] == label.tolist()
+    assert len(set(label[:1500])) > 1000 > 20 > len(set(label[1500:]))
+
+
 def test_empty_tables(spark):
     empty = cases.frame(spark, [])
     assert M.near_duplicates(empty).count() == 0
@@ -81,6 +116,21 @@ def test_sketches_estimate_similarity():
         assert np.bitwise_count((M.odd_sketch(a) ^ M.odd_sketch(b)).view(np.uint64)).sum() <= M.most_differing_bits(0.75)
 
 
+def test_sketch_estimates_are_the_preciser_the_more_alike():
+    rng = np.random.default_rng(2)
+    errors = {}
+    for share in (0.6, 0.75, 0.9, 0.97):
+        found = []
+        for _ in range(200):
+            n = 400
+            both = int(2 * n * share / (1 + share))
+            pool = rng.integers(0, 1 << 62, 2 * n - both).astype(np.uint64)
+            a, b = M.samples(np.sort(pool[:n])), M.samples(np.sort(pool[n - both :]))
+            found.append(float(M.estimate(np.bitwise_count((M.odd_sketch(a) ^ M.odd_sketch(b)).view(np.uint64)).sum())) - both / (2 * n - both))
+        errors[share] = float(np.sqrt(np.mean(np.square(found))))
+    assert errors[0.97] < errors[0.9] < errors[0.75] < 0.05 and errors[0.6] < 0.08 and errors[0.97] < 0.015
+
+
 def test_components_of_a_path_a_star_and_a_cycle(spark):
     links = [(i, i + 1) for i in range(50, 90)] + [(7, k) for k in range(8, 20)] + [(200, 201), (201, 202), (202, 200)] + [(3, 3)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -88,7 +138,30 @@ def test_components_of_a_path_a_star_and_a_cycle(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("length", [4, 11, 50])
+def test_levels_double():
+    assert levels(50) == [13, 25] and levels(100) == [13, 25, 50] and levels(4) == [2] and levels(200) == [13, 25, 50, 100]
+
+
+def test_no_candidate_of_a_level_is_left(spark, monkeypatch):
+    """The table of candidates shrinks from level to level and ends empty where no long window is repeated."""
+    sizes = []
+    monkeypatch.setattr(substring_dedup, "save", lambda df: sizes.append((df.columns, (out := store.save(df)).count())) or out)
+    rng = np.random.default_rng(3)
+    short = [f"s{k}" for k in range(20)]
+    docs = [(i, 0, " ".join([*(f"w{x}" for x in rng.integers(0, 10**6, 60)), *short, *(f"w{x}" for x in rng.integers(0, 10**6, 60))])) for i in range(20)]
+    found = substring_dedup.repeated_spans(spans(spark.createDataFrame(docs, "id long, key long, text string"), 100))
+    candidates = [n for c, n in sizes if "span" in c]
+    assert candidates[0] > 0 and candidates[-1] == 0 == found.count() and candidates == sorted(candidates, reverse=True)
+
+
+def test_identical_rows_cost_no_more_than_their_number(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    data = [(1, "x " + text), *[(2, text)] * 5000, (3, text + " y")]
+    found = {(r.doc_id, r.n_words, r.n_removed): r["count"] for r in remove_repeats(cases.frame(spark, data)).groupBy("doc_id", "n_words", "n_removed").count().collect()}
+    assert found == {(1, 81, 0): 1, (2, 80, 80): 5000, (3, 81, 80): 1}
+
+
+@pytest.mark.parametrize("length", [4, 11, 50, 60])
 def test_repeats_equal_brute_force(spark, length):
     data = cases.rows()
     first: dict[tuple, int] = {}
