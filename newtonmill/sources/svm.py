@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from ..functions.scalar import tokens
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """(line): the non-empty lines of text files."""
-    return spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", "\r", "").alias("line")).where(F.length(F.trim("line")) > 0)
+def read_text(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
+    """(line): the non-empty lines of text files; with places also (place), by which lines are in the order of files, and in them as they stand."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path, lineSep="\n").select(*[place.alias("place")] * places, F.regexp_replace("value", "\r", "").alias("line"))
+    return lines.where(F.length(F.trim("line")) > 0)
 
 
 def parse(lines: DataFrame, *keep: str, separators: str = r"\t ", pair: str = ":") -> DataFrame:
@@ -51,9 +53,9 @@ def write_text(samples: DataFrame, path: str, by_client: bool = False) -> None:
     (lines.write.partitionBy("client_id") if by_client else lines.write).text(path)
 
 
-def read_dataset(spark: SparkSession, path: str, intercept: bool = True, remap: bool = True) -> DataFrame:
-    """(label, features): reads, profiles and densifies; fails unless there are exactly two labels."""
-    samples = parse(read_text(spark, path))
+def read_dataset(spark: SparkSession, path: str, intercept: bool = True, remap: bool = True, places: bool = False, separators: str = r"\t ", pair: str = ":") -> DataFrame:
+    """(label, features), and place if asked for: reads, profiles and densifies; fails unless there are exactly two labels."""
+    samples = parse(read_text(spark, path, places), *["place"] * places, separators=separators, pair=pair)
     p = profile(samples).first()
     if not p.ok:
         raise ValueError(f"two labels are needed, found {p.labels}")
