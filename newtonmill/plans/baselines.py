@@ -10,7 +10,7 @@ from collections.abc import Callable
 import numpy as np
 
 from . import solvers
-from .compressors import low_rank, packed, power_of_two_randomly, top_k, unpacked
+from .compressors import low_rank, packed, power_of_two_randomly, power_sgd, top_k, unpacked
 from .problems import Logistic
 
 #: Numbers that the driver may hold for all clients.
@@ -20,9 +20,12 @@ HELD = 50_000_000
 class Vectors:
     """Vector compressors by name, with omega for the unbiased ones: E|C(v) - v|^2 <= omega |v|^2."""
 
+    #: Other names of the same compressors. Fixed values.
+    OTHER = {"rand_sparse": "randk", "rand_dithering": "dithering", "natural_comp": "natural", "no_comp": "none"}
+
     def __init__(self, name: str, d: int, k: int = 1) -> None:
-        self.name, self.d, self.k = name, d, k
-        self.omega = {"none": 0.0, "randk": d / k - 1, "bernoulli": d / k - 1, "natural": 1 / 8, "dithering": min(d / k**2, d**0.5 / k)}.get(name)
+        self.name, self.d, self.k = self.OTHER.get(name, name), d, k
+        self.omega = {"none": 0.0, "randk": d / k - 1, "bernoulli": d / k - 1, "natural": 1 / 8, "dithering": min(d / k**2, d**0.5 / k)}.get(self.name)
 
     def __call__(self, v: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         if self.name == "none":

@@ -67,12 +67,12 @@ def read_rounds(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(kernel, schema)
 
 
-def cumulative_bytes(rounds: DataFrame) -> DataFrame:
-    """(round, bytes_scalars, bytes_indices, bytes_scalars_lagged) from bytes by round; the lagged one leaves out the round itself. One row for each round of a run."""
-    w = Window.orderBy("round")
+def cumulative_bytes(rounds: DataFrame, *run: str) -> DataFrame:
+    """(run, round, bytes_scalars, bytes_indices, bytes_scalars_lagged) from bytes by round; the lagged one leaves out the round itself. Each run's rounds meet in one task."""
+    w = Window.partitionBy(*(run or (F.lit(0),))).orderBy("round")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     return rounds.select(
-        "round", F.sum("scalars").over(so_far).alias("bytes_scalars"), F.sum("indices").over(so_far).alias("bytes_indices"),
+        *run, "round", F.sum("scalars").over(so_far).alias("bytes_scalars"), F.sum("indices").over(so_far).alias("bytes_indices"),
         F.coalesce(F.sum("scalars").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("bytes_scalars_lagged"),
     )
 

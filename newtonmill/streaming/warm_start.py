@@ -1,27 +1,29 @@
 """Mini-batches of a stream as rounds: each batch moves the iterate by a regularised Newton step on its own samples."""
 
 import json
-from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import solvers
 from ..plans.compressors import unpacked
 from ..plans.training import client_sums
+from ..sources import files
 
 
 class WarmStart:
-    """The iterate over a stream of samples (features times label). Its history is kept beside the stream's own
-    checkpoint, so a batch that is replayed after a failure finds its place and is not counted twice."""
+    """The iterate over a stream of samples (features times label). Its history is a folder of any store that Spark
+    reads, with a small file for each batch, beside the stream's own checkpoint: a batch that is replayed after a failure,
+    also by another driver, finds its place and is not counted twice."""
 
-    def __init__(self, d: int, lam: float, history: str | None = None) -> None:
-        self.d, self.lam, self.path = d, lam, Path(history) if history else None
-        self.steps: dict[int, dict] = {}
-        if self.path and self.path.exists():
-            self.steps = {s["batch"]: s for s in map(json.loads, self.path.read_text().splitlines())}
+    def __init__(self, d: int, lam: float, history: str | None = None, spark: SparkSession | None = None) -> None:
+        self.d, self.lam, self.path, self.steps = d, lam, history, {}
+        spark = spark or SparkSession.getActiveSession()
+        if history and files.exists(spark, history):
+            steps = map(json.loads, [r.value for r in spark.read.text(history).collect()])  # a line for each batch
+            self.steps = {s["batch"]: s for s in steps}
 
     def before(self, batch: int) -> tuple[np.ndarray, int]:
         """The iterate before a batch, and the samples seen until then."""
@@ -40,7 +42,7 @@ class WarmStart:
             seen += r.n
         self.steps[batch] = {"batch": batch, "x": x.tolist(), "n": seen}
         if self.path:
-            self.path.write_text("".join(json.dumps(self.steps[b]) + "\n" for b in sorted(self.steps)))
+            files.write_text(df.sparkSession, f"{self.path}/{batch}.json", json.dumps(self.steps[batch]))
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.take).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()

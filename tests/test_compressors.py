@@ -101,3 +101,21 @@ def test_low_rank_dithering_and_power_step():
     v, rng = m[0], np.random.default_rng(3)
     mean = np.mean([C.dithering(v, 4, rng.random(8)) for _ in range(20_000)], axis=0)
     assert np.allclose(mean, v, atol=0.02)
+
+
+def test_matrix_compressors_keep_the_mean_or_contract():
+    from newtonmill.plans.baselines import contraction, matrix_compressor
+
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(8, 8))
+    m = m + m.T
+    drawn = [matrix_compressor("randk", 8, 9)(m, rng) for _ in range(4000)]
+    assert np.abs(np.mean(drawn, axis=0) - m).max() < 0.6 and all(np.array_equal(x, x.T) for x in drawn[:5])
+    whole = np.sum(m * m)
+    for name, k in (("topk", 9), ("rank", 3)):
+        left = np.sum((matrix_compressor(name, 8, k)(m, rng) - m) ** 2)
+        assert left <= (1 - contraction(name, m, k)) * whole * (1 + 1e-9)
+    assert np.mean([np.sum((matrix_compressor("powersgd", 8, 3)(m, rng) - m) ** 2) for _ in range(50)]) <= (1 - contraction("powersgd", m, 3)) * whole
+    assert contraction("randk", m, 9) == 3
+    with pytest.raises(ValueError):
+        matrix_compressor("none", 8, 1)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newtonmill.functions import scalar as S
-from newtonmill.sources import runs_log, svm
+from newtonmill.sources import files, plots, runs_log, svm
 from newtonmill.sources.synthetic import federated, uniform_classes
 
 
@@ -59,3 +59,42 @@ def test_digests_and_parsing(spark):
     assert [r.i for r in got] == [111, None, None, None] and [r.d for r in got] == [111.0, None, None, -1234.56]
     shown = spark.range(1).select(S.array_text(F.array(F.lit(1), F.lit(222), F.lit(3))).alias("s")).first().s
     assert shown == "[1,222,3]"
+
+
+def test_files_of_a_store(spark, tmp_path):
+    folder = f"file://{tmp_path}/a/b"
+    assert not files.exists(spark, folder)
+    files.make_folder(spark, folder)
+    files.make_folder(spark, folder)
+    files.write_text(spark, f"{folder}/x.txt", "é\n")
+    files.write_text(spark, f"{folder}/x.txt", "two é\n")
+    files.make_folder(spark, f"{folder}/c")
+    assert [(r.name, r.is_folder, r.bytes) for r in files.listed(spark, folder).collect()] == [("c", True, 0), ("x.txt", False, 7)]
+    assert files.read_text(spark, f"{folder}/x.txt") == "two é\n" and files.size(spark, folder) == 7
+    assert files.remove(spark, folder) and not files.remove(spark, folder) and not files.exists(spark, folder)
+
+
+def test_plots_of_logs(spark):
+    import xml.etree.ElementTree as ET
+
+    rows = [(k, 10.0**-k, run) for run in ("one", "<two>") for k in range(6)] + [(6, 0.0, "one"), (7, None, "one")]
+    text = plots.plot(spark.createDataFrame(rows, "round int, gap double, run string"), "round", "gap", "run", "gap & round")
+    lines = [e for e in ET.fromstring(text) if e.tag.endswith("polyline")]
+    assert [len(e.get("points").split()) for e in lines] == [6, 6] and len({e.get("stroke") for e in lines}) == 2
+    first = [tuple(map(float, p.split(","))) for p in lines[0].get("points").split()]
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(first, first[1:]))
+    ET.fromstring(plots.svg({}, "x", "y"))
+    ET.fromstring(plots.svg({"flat": ([1.0, 1.0], [2.0, 2.0])}, "x", "y", log_x=True))
+
+
+def test_bytes_of_several_runs(spark):
+    rounds = spark.createDataFrame([(r, k, 8, 4) for r in ("a", "b") for k in range(3)], "run string, round int, scalars long, indices long")
+    found = sorted(map(tuple, runs_log.cumulative_bytes(rounds, "run").collect()))
+    assert found == [(r, k, 8 * (k + 1), 4 * (k + 1), 8 * k) for r in ("a", "b") for k in range(3)]
+
+
+def test_class_counts_of_very_many_rows(spark):
+    """The order of rows is worked out without overflow: the first rows of four thousand million."""
+    t = uniform_classes(spark, 4_000_000_007, 1, 3, [(-1.0, 0.5), (1.0, 0.5)]).where("sample_id < 2000")
+    n = t.where("label < 0").count()
+    assert 0.4 < n / t.count() < 0.6

@@ -87,14 +87,10 @@ def test_gradient_descent_and_smoothness(samples, data):
 
 
 def test_logistic_regression_of_spark_agrees(spark, samples, best):
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    # both signs of every sample, so both classes occur
-    t = samples.select(array_to_vector("features").alias("features"), F.lit(1.0).alias("label"))
-    t = t.union(samples.select(array_to_vector(F.transform("features", lambda v: -v)), F.lit(0.0)))
-    fit = LogisticRegression(regParam=LAM, standardization=False, fitIntercept=False, tol=1e-12, maxIter=300).fit(t)
-    assert np.allclose(fit.coefficients.toArray(), best, atol=1e-4)
+    from newtonmill.plans import comparators
+
+    assert np.allclose(comparators.mllib(samples, LAM), best, atol=1e-4)
+    assert np.allclose(comparators.newton(samples, LAM), best, atol=1e-8)
 
 
 def test_unknown_names_are_refused():
