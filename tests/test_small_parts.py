@@ -68,3 +68,37 @@ def test_padded_union(spark):
     a = spark.createDataFrame([([1.0],)], "features array<double>")
     b = spark.createDataFrame([([1.0, 2.0, 3.0],)], "features array<double>")
     assert sorted(r.features for r in union_padded(a, b, width=3).collect()) == [[1.0, 0.0, 0.0], [1.0, 2.0, 3.0]]
+
+
+def test_entry_without_the_training_data_queries(monkeypatch):
+    """Whether that subpackage is absent or broken, the other queries stay."""
+    import sys
+
+    import __spark_entry__ as entry
+    from newtonmill.queries import ORACLE_SQL, QUERIES
+
+    monkeypatch.setitem(sys.modules, "newtonmill.llm.queries", None)
+    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLE_SQL)
+
+
+def test_random_fill_and_string_maps(spark):
+    from newtonmill.operators import strings
+
+    t = spark.range(500).select(V.random_fill(F.col("id"), 4, 7, -1.0, 1.0).alias("a"))
+    rows = np.array([r.a for r in t.collect()])
+    assert rows.shape == (500, 4) and -1 <= rows.min() < -0.9 and 0.9 < rows.max() < 1 and abs(rows.mean()) < 0.1
+    words = spark.createDataFrame([("wat", 1), ("we", 2), ("we1", 3), ("we12", 4)], "key string, value int")
+    left = strings.remove(words, spark.createDataFrame([("we1",), ("none",)], "key string"))
+    assert {r.key for r in left.collect()} == {"wat", "we", "we12"}
+    texts = spark.createDataFrame([("we123",), ("we123",), ("x",), (None,)], "t string")
+    assert [(r.t, r.key) for r in strings.longest_prefix(texts, "t", left).collect()] == [("we123", "we12")] * 2
+    assert {r.key: r.value for r in strings.get(strings.put(left, spark.createDataFrame([("we", 9)], "key string, value int")), spark.createDataFrame([("we",), ("gone",)], "key string")).collect()} == {"we": 9, "gone": None}
+
+
+def test_rank_and_feasible_systems(spark):
+    rel = lambda m: spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(m) for j, v in enumerate(row)], "i int, j int, v double")
+    vec = lambda b: spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "i int, v double")
+    two = [[1, 2], [2, 4]]
+    assert M.rank(rel(two)).first().rank == 1 and not M.solvable(rel(two), vec([5, 7])).first().feasible
+    assert tuple(M.solvable(rel(two), vec([1, 2])).first()) == (True, 1)
+    assert M.rank(rel([[1, 0], [0, 1], [1, 1]])).first().rank == 2 and M.orthogonal(rel([[0, 1], [1, 0]])).first()[0] and not M.orthogonal(rel(two)).first()[0]
