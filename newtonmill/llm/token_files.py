@@ -201,7 +201,11 @@ BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("at", pa.int6
 
 
 def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, start, n_tokens, ids) of each document of a file set: ids is binary, little-endian unsigned 32-bit; start counts the ids of all documents before it."""
+    """(id_col, start, n_tokens, ids) of each document of a file set: ids is binary, little-endian unsigned 32-bit; start counts the ids of all documents before it.
+
+    A file set without blocks gives no rows. Documents come back as they were written: repeated and null ids stay, each
+    with its own start.
+    """
     ranks = spark.read.schema("rank long, token long").parquet(f"{folder}/ranks").orderBy("rank").collect()
     tokens = spark.sparkContext.broadcast(np.array([r[1] for r in ranks], np.uint32))
     blocks = spark.read.schema("shard int, block int, at long, n long, docs array<long>, lengths array<long>, control binary, data binary").parquet(f"{folder}/blocks")

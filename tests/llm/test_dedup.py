@@ -51,6 +51,7 @@ def test_a_family_around_a_missing_original(spark, monkeypatch):
     """Copies of one text, each edited apart: pairs lie on both sides of the threshold, and blocks are small."""
     monkeypatch.setattr(M, "BLOCK", 8)
     monkeypatch.setattr(M, "TEXTS", 8)
+    monkeypatch.setattr(M, "COLUMNS", 16)
     rng = np.random.default_rng(4)
     base = [f"w{k}" for k in range(200)]
     data = []

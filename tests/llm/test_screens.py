@@ -3,6 +3,7 @@ import json
 import math
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def test_base_secrets_equal_the_patterns():
 
 def test_checksums_decide():
     body = "aB3" * 10
-    good = "ghp_" + body + S.base62(__import__("zlib").crc32(body.encode()), 6)
+    good = "ghp_" + body + S.base62(zlib.crc32(body.encode()), 6)
     bad = good[:-1] + ("0" if good[-1] != "0" else "1")
     kinds = lambda t: [s[0] for s in S.scanner().spans(t)]
     assert kinds(f"x {good} y") == ["github"] and kinds(f"x {bad} y") == [] and kinds(good + "Z") == []
@@ -42,6 +43,60 @@ def test_checksums_decide():
     assert S.luhn_holds("79927398713") and not S.luhn_holds("79927398710")
 
 
+def added_spans(t):
+    """Tokens with checksums, cards and account numbers, tried at every place of the text."""
+    found, low = [], t.lower()
+    for kind, words in (("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")), ("npm", ("npm_",))):
+        over = 0
+        for at in range(len(t)):
+            m = re.match(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])", t[at:])
+            if at >= over and m and t[at : at + 4] in words and S.base62(zlib.crc32(m[1].encode()), 6) == m[2]:
+                found.append((kind, at, at + 40))
+                over = at + 40
+    over = 0
+    for at in range(len(t)):
+        if at < over or low[at : at + 4] not in ("card", "visa"):
+            continue
+        m = re.match(r"[A-Za-z]+\D{0,16}?(?<!\d)(\d(?:[ -]?\d){12,18})(?!\d)", t[at:])
+        if m and sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(re.sub(r"\D", "", m[1])))) % 10 == 0:
+            found.append(("card", at + m.start(1), at + m.end(1)))
+            over = at + m.end(1)
+    return sorted(found, key=lambda x: (x[1], x[0]))
+
+
+def test_added_kinds_equal_trying_every_place():
+    rng = random.Random(4)
+
+    def token():
+        body = "".join(rng.choice(S.DIGITS) for _ in range(30))
+        return rng.choice(["ghp_", "ghs_", "npm_", "GHP_"]) + body + (S.base62(zlib.crc32(body.encode()), 6) if rng.random() < 0.7 else "00000a") + rng.choice(["", " ", "x", "."])
+
+    def card():
+        digits = [rng.randrange(10) for _ in range(rng.randint(12, 18))]
+        last = next(d for d in range(10) if S.luhn_holds("".join(map(str, [*digits, d])))) if rng.random() < 0.7 else rng.randrange(10)
+        return rng.choice(["", " ", "-"]).join(map(str, [*digits, last]))
+
+    parts = ["card", "Visa ", "CARD no. ", " ", ": ", "x", "7", "\n", "discard", "ghp_", "é", "npm_", "mastercard number is "]
+    seen = 0
+    for _ in range(3000):
+        t = "".join(token() if (p := rng.random()) < 0.15 else card() if p < 0.4 else rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        want = added_spans(t)
+        assert sorted((s[:3] for s in S.scanner().spans(t) if s[0] in ("github", "npm", "card")), key=lambda x: (x[1], x[0])) == want, t
+        seen += len(want)
+    assert seen > 500
+
+
+def test_texts_of_a_megabyte(spark):
+    """Secrets at both ends of a long text, and its language; a run of hexadecimal digits of a megabyte is one span."""
+    long = "password = hunter22 " + "the river and the village before dinner " * 30_000 + " AKIA" + "B" * 16
+    data = [(1, long), (2, "a1" * 500_000), (3, "the river")]
+    found = {r.doc_id: r for r in S.secret_digest(cases.frame(spark, data)).collect()}
+    assert len(long) > 1_000_000 and (found[1].n_assign, found[1].n_access, found[2].n_hex) == (1, 1, 1) and found[2].spans == "hex:0:1000000"
+    made = spark.createDataFrame([(i, shuffled(random.Random(i), lang, 40), lang) for i, lang in enumerate(list(SENTENCES) * 20)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.language for r in identify(cases.frame(spark, data, more=False), fit(made, "lang", "text"), "doc_id", "text").collect()}
+    assert got[1] == "en" and got[3] == "en"
+
+
 def test_account_numbers_are_checked_by_mod_97():
     said = lambda t: [(s[0], t[s[1] : s[2]]) for s in S.scanner().spans(t)]
     good = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606", "NO93 8601 1117 947", "nl91-abna-0417-1643-00"]
