@@ -42,13 +42,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     marked = docs.withColumn("text_key", F.xxhash64("text"))
     texts = save(marked.where("doc_id is not null and text <> ''").groupBy("doc_id", "text_key").agg(F.count("*").alias("copies")))
+    by = ("doc_id",)
     if texts.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rejected = near_duplicates(docs).where("not kept").select("doc_id", "text_key")
+        rejected = near_duplicates(docs).where("not kept")
     else:  # ids that name several texts: each text gets a number of its own, in the order of the ids
         numbers = save(row_index(texts.select("doc_id", "text_key"), "doc_id", "text_key", name="number"))
         numbered = marked.join(numbers, ["doc_id", "text_key"]).select("number", "text")
-        rejected = near_duplicates(numbered, id_col="number").where("not kept").select("number").join(numbers, "number").select("doc_id", "text_key")
-    left = _without(marked, rejected, "doc_id", "text_key")
+        rejected, by = near_duplicates(numbered, id_col="number").where("not kept").select("number").join(numbers, "number"), ("doc_id", "text_key")
+    left = _without(marked, rejected, *by)
     again = save(texts.where("copies > 1").select("doc_id", "text_key"))
     if again.isEmpty():
         return left.select(*docs.columns)
