@@ -15,14 +15,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .store import save, small
 
 U = np.uint64
-#: Labelled texts of the whole table in the sample, about, and of each label at least, if it has them; labels at most.
+#: Labelled texts of the whole table in the sample, about, and of each label, about, at least, if it has them; labels at most.
 SAMPLE, OF_LABEL, MOST = 3000, 200, 512
 #: Hashed letter trigrams, and the count that each starts with, less for a label with fewer trigrams than bins.
 BINS, START = 1 << 15, 0.2
@@ -59,7 +59,7 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, label_col: str, text_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages, and log likelihoods by bin and language, from about `sample` distinct labelled texts, chosen by a hash of the text.
 
-    A label has at least OF_LABEL texts in the sample, or all of its own, so none is absent because it is rare. Equal
+    A label has about OF_LABEL texts in the sample or more, or all of its own, so none is absent because it is rare. Equal
     texts count once however many rows hold them, and ids are not looked at, so repeated or absent ids change nothing.
     Rows without label or text are left out; without any labelled text the one language is `und`. More than MOST
     labels are refused, as the model has BINS values for each.
@@ -73,11 +73,10 @@ def fit(labelled: DataFrame, label_col: str, text_col: str, sample: int = SAMPLE
         raise ValueError(f"more than {MOST} labels in column {label_col}")
     total = sum(r.n for r in found) or 1
     wanted = {r.label: max(OF_LABEL, math.ceil(r.n * sample / total)) for r in found}
-    # Spark keeps the first `most` of a label in each task before rows move
-    most = max(wanted.values(), default=1)
-    ranked = keys.select("label", "text_key", F.row_number().over(Window.partitionBy("label").orderBy("text_key")).alias("rank")).where(F.col("rank") <= most)
-    limits = labelled.sparkSession.createDataFrame(list(wanted.items()), "label string, wanted long")
-    chosen = save(ranked.join(F.broadcast(limits), "label").where("rank <= wanted").select("label", "text_key"))  # sample + MOST * OF_LABEL rows at most
+    # the hashes of distinct texts are spread evenly, so those under a label's bound are about as many as it needs, and nothing is put in order
+    limits = labelled.sparkSession.createDataFrame([(r.label, int(min(1.0, (wanted[r.label] + 30) / r.n) * ((1 << 62) - 1))) for r in found], "label string, bound long")
+    few = keys.select("label", "text_key").join(F.broadcast(limits), "label").where(F.shiftrightunsigned("text_key", 2) <= F.col("bound"))
+    chosen = save(few.select("label", "text_key"))  # about sample + MOST * OF_LABEL rows at most
     picked = rows.join(F.broadcast(chosen), ["label", "text_key"]).groupBy("label", "text_key").agg(F.min("text").alias("text"))
 
     def kernel(batches):
