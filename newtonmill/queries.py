@@ -278,6 +278,7 @@ def toplek_prefix(spark, sf_dir):
 
 @query(f"WITH {SQL_ENTRIES}, G AS (SELECT *, CASE WHEN i = j THEN v*v ELSE 2*v*v END AS energy FROM E), H AS (SELECT *, row_number() OVER w AS r, sum(energy) OVER (w ROWS UNBOUNDED PRECEDING) AS kept, sum(energy) OVER (PARTITION BY client_id) AS whole FROM G WINDOW w AS (PARTITION BY client_id ORDER BY abs(v) DESC, pos)), J AS (SELECT *, min(CASE WHEN whole - kept <= (1 - 0.25::DOUBLE + 0.1::DOUBLE)*whole THEN r END) OVER (PARTITION BY client_id) AS e FROM H) SELECT client_id, pos, v, CAST(r AS INT) AS rank FROM J WHERE r <= least(coalesce(e, {K}), {K})")
 def toplek(spark, sf_dir):
+    """The deterministic core: the fewest entries within the bound. The kernel of the training rounds goes on to choose at random between that number and one less."""
     return C.top_lek(entries(spark, sf_dir), K, K / N_ENTRIES).select("client_id", "pos", "v", "rank")
 
 

@@ -224,6 +224,21 @@ def c_runtime_stream(spark, sf_dir):
     return seeds(spark).select("seed", F.posexplode(S.c_runtime_stream(F.col("seed"), 6)).alias("pos", "v"))
 
 
+@query("WITH RECURSIVE G AS (SELECT s AS seed, 0 AS k, s::UBIGINT AS x FROM (SELECT unnest([1, 7, 123456789]) AS s) UNION ALL SELECT seed, k + 1, xor(y, y >> 27) FROM (SELECT seed, k, xor(z, (z % 549755813888::UBIGINT)*33554432::UBIGINT) AS y FROM (SELECT seed, k, xor(x, x >> 12) AS z FROM G) a) b WHERE k < 6) SELECT CAST(seed AS BIGINT) AS seed, CAST(k - 1 AS INT) AS pos, CAST(((x::HUGEINT*2685821657736338717) % 18446744073709551616) // 2048 AS DOUBLE)/9007199254740992::DOUBLE AS v FROM G WHERE k > 0")
+def xorshift_stream(spark, sf_dir):
+    """The kernels' 64-bit stream, drawn in a task."""
+
+    def kernel(frames):
+        import pandas as pd
+
+        from .functions.random import XorShift
+
+        for frame in frames:
+            yield pd.DataFrame([(s, k, v) for s in frame.seed for k, v in enumerate(XorShift(s).batch(6))], columns=["seed", "pos", "v"])
+
+    return spark.createDataFrame([(1,), (7,), (123456789,)], "seed long").mapInPandas(kernel, "seed long, pos int, v double")
+
+
 @query("WITH G AS (SELECT p_partkey, (p_partkey*214013 + 2531011) % 4294967296 AS s FROM part), H AS (SELECT p_partkey, s/4294967295::DOUBLE AS u, ((s*214013 + 2531011) % 4294967296)/4294967295::DOUBLE AS v FROM G) SELECT p_partkey, round(-ln(1 - u)/2, 8) AS exponential, round(3*sqrt(-2*ln(1 - u)), 8) AS rayleigh, round(1 + 2*sqrt(-2*ln(1 - u))*cos(2*pi()*v), 7) + 0.0::DOUBLE AS normal, round(-2*ln(1 - u)*cos(2*pi()*v)*cos(2*pi()*v) - 2*ln(1 - v)*cos(2*pi()*u)*cos(2*pi()*u), 7) + 0.0::DOUBLE AS chi_square FROM H")
 def distributions(spark, sf_dir):
     draws = S.lcg_reals(F.col("p_partkey"), 2)

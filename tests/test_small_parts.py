@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from newtonmill.functions import random as R
@@ -102,3 +103,25 @@ def test_rank_and_feasible_systems(spark):
     assert M.rank(rel(two)).first().rank == 1 and not M.solvable(rel(two), vec([5, 7])).first().feasible
     assert tuple(M.solvable(rel(two), vec([1, 2])).first()) == (True, 1)
     assert M.rank(rel([[1, 0], [0, 1], [1, 1]])).first().rank == 2 and M.orthogonal(rel([[0, 1], [1, 0]])).first()[0] and not M.orthogonal(rel(two)).first()[0]
+
+
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_interpolation_in_a_group_split_over_tasks(spark, tasks):
+    from newtonmill.operators.series import interpolate
+
+    rng = np.random.default_rng(2)
+    xs = np.unique(rng.integers(0, 10_000, 300)).astype(float)
+    ys = rng.normal(size=len(xs))
+    ask = np.concatenate([xs[:20], rng.random(400) * 12_000 - 1000])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    try:
+        points = spark.createDataFrame([(1, float(x), float(y)) for x, y in zip(xs, ys)] + [(2, 5.0, 1.0), (None, 3.0, 4.0)], "k int, x double, y double")
+        asked = spark.createDataFrame([(1, float(x)) for x in ask] + [(2, 9.0), (None, 1.0), (3, 1.0)], "k int, x double")
+        found = {(r.k, r.x): r.y for r in interpolate(points, asked, "k").collect()}
+        steps = {(r.k, r.x): r.y for r in interpolate(points, asked, "k", linear=False).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert np.allclose([found[1, x] for x in ask.tolist()], np.interp(ask, xs, ys)) and (found[2, 9.0], found[None, 1.0], found[3, 1.0]) == (1.0, 4.0, None)
+    at = np.maximum(0, np.searchsorted(xs, ask, "right") - 1)
+    assert [steps[1, x] for x in ask.tolist()] == ys[at].tolist()
