@@ -30,7 +30,7 @@ SAMPLES, BANDS, ROWS, BITS = 256, 40, 4, 512
 LONGS = BITS // 64
 #: Standard deviations by which a sketch may stray from what a pair at the threshold shows.
 SLACK = 5.5
-#: Members of a bucket or family in a block, at least, and at most where it has very many; members and bytes in a block of texts.
+#: Members of a bucket or family in a block, at least, and at most where it has very many; members at most and bytes in a block of texts.
 BLOCK, WIDE, TEXTS, BLOCK_BYTES = 64, 4096, 256, 8 << 20
 #: Shared shingles in one product of indicator matrices.
 COLUMNS = 4096
@@ -144,10 +144,10 @@ def _dealt(members: DataFrame, by: str, blocks: Column) -> DataFrame:
     return dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
 
 
-def _sketch_blocks() -> Column:
-    """Small blocks, so that they spread over all tasks; larger ones where a group has so many that their pairs would be too many."""
+def _blocks(widest: int) -> Column:
+    """How many blocks a group has: small ones, so that their pairs spread over all tasks, and larger ones, `widest` at most, where it has so many that their pairs would be too many."""
     n = F.count("*")
-    return n / F.least(F.greatest(n / BLOCK, F.lit(BLOCK)), F.lit(WIDE))
+    return n / F.least(F.greatest(n / BLOCK, F.lit(BLOCK)), F.lit(widest))
 
 
 def _open_pairs(table: pa.Table, worst: int):
@@ -173,7 +173,7 @@ def _nearest(families: DataFrame, worst: int) -> DataFrame:
         found = [(int(node[r]), int(far.min()), int(node[c[far == far.min()]].min())) for r, c, far in _open_pairs(table, worst)]
         return pa.table({k: pa.array([x[i] for x in found], t) for i, (k, t) in enumerate((("node", pa.int64()), ("far", pa.int32()), ("other", pa.int64())))})
 
-    near = _dealt(families, "family", _sketch_blocks()).groupBy("family", "lo", "hi").applyInArrow(kernel, "node long, far int, other long")
+    near = _dealt(families, "family", _blocks(WIDE)).groupBy("family", "lo", "hi").applyInArrow(kernel, "node long, far int, other long")
     return near.groupBy("node").agg(F.min(F.struct("far", "other")).alias("x")).select("node", "x.far", "x.other")
 
 
@@ -214,7 +214,7 @@ def _within(families: DataFrame, percent: int, shingle: int) -> DataFrame:
             found = [(node[rows[r]], node[cols[c]]) for r, c in zip(*np.nonzero(linked))]
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    rows = _dealt(families, "family", F.greatest(F.count("*") / TEXTS, F.sum(F.octet_length("text")) / BLOCK_BYTES))
+    rows = _dealt(families, "family", F.greatest(_blocks(TEXTS), F.sum(F.octet_length("text")) / BLOCK_BYTES))
     return rows.groupBy("family", "lo", "hi").applyInArrow(kernel, "a long, b long")
 
 
@@ -226,7 +226,7 @@ def _across(members: DataFrame, worst: int) -> DataFrame:
         found = {(max(node[r], x), min(node[r], x)) for r, c, _ in _open_pairs(table, worst) for x in node[c[family[c] != family[r]]]}
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    return _dealt(members, "key", _sketch_blocks()).groupBy("key", "lo", "hi").applyInArrow(kernel, "a long, b long").distinct()
+    return _dealt(members, "key", _blocks(WIDE)).groupBy("key", "lo", "hi").applyInArrow(kernel, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = 5) -> DataFrame:
