@@ -118,35 +118,38 @@ def _column(values: np.ndarray, borders: np.ndarray) -> pa.Array:
 
 
 def encode_ids(docs: DataFrame, path: str, end: int | None, width: str = "<u4", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, ids): ids as little-endian unsigned integers of the width given, in one binary value."""
+    """(id, n, ids): ids as little-endian unsigned integers of the width given, in one binary value.
+
+    Each task ends with one more row, n = -1, whose ids are how often it met each id, as 64-bit integers from id 0 on."""
 
     def kernel(batches):
         if path not in _open:
             _open[path] = LibraryEncoder(path)
+        met = np.zeros(0, np.int64)
         for batch in small(batches, 1024):  # larger batches hold fewer distinct chunks for their size
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in groups(texts):
                 ids, borders = _open[path].encode(texts[i:j], end)
+                one = np.bincount(ids, minlength=len(met))
+                one[: len(met)] += met
+                met = one
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(borders), pa.int64()), _column(ids.astype(width), borders)], ["id", "n", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([met.tobytes()], pa.binary())], ["id", "n", "ids"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(kernel, "id long, n long, ids binary")
 
 
-def ranks_by_frequency(encoded: DataFrame, width: str = "<u4") -> np.ndarray:
-    """The ids that occur, most frequent first. There are at most as many as the vocabulary has, so the driver can hold them."""
+def ranks_by_frequency(encoded: DataFrame) -> np.ndarray:
+    """The ids that occur, most frequent first, from the tasks' counts. There are at most as many as the vocabulary has, so the driver can hold them."""
 
     def kernel(batches):
-        counts = np.zeros(0, np.int64)
-        for batch in small(batches):
-            for ids in batch.column(0):
-                one = np.bincount(np.frombuffer(ids.as_buffer(), width))
-                if len(one) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(one) - len(counts), np.int64)])
-                counts[: len(one)] += one
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found])], ["token", "n"])
-
-    rows = encoded.select("ids").mapInArrow(kernel, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token")
+        for batch in batches:
+            for counts in batch.column(0):
+                met = np.frombuffer(counts.as_buffer(), np.int64)
+                found = np.flatnonzero(met)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(met[found])], ["token", "n"])
+
+    rows = encoded.where("n < 0").select("ids").mapInArrow(kernel, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token")
     return np.array([r[0] for r in rows.select("token").collect()], np.int64)
 
 
@@ -159,10 +162,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int | None =
     spark = docs.sparkSession
     width = "<u2" if max(LibraryEncoder(path).library.get_vocab_size(), (end or 0) + 1) <= 1 << 16 else "<u4"
     encoded = save(encode_ids(docs, path, end, width, id_col, text_col), 1024)
-    order = ranks_by_frequency(encoded, width)
+    order = ranks_by_frequency(encoded)
+    rows = encoded.where("n >= 0")
     rank = np.zeros(int(order.max(initial=-1)) + 1, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    shards = max(1, -(-(encoded.agg(F.sum("n")).first()[0] or 0) // SHARD_IDS))
+    shards = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // SHARD_IDS))
     ranked = spark.sparkContext.broadcast(rank)  # four bytes for each id of the vocabulary
 
     def kernel(batches):
@@ -190,7 +194,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int | None =
         if held:
             yield flush()
 
-    blocks = encoded.repartitionByRange(shards, "id").sortWithinPartitions("id", F.xxhash64("ids")).mapInArrow(kernel, "shard int, block int, at long, n long, docs array<long>, lengths array<long>, control binary, data binary")
+    blocks = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", F.xxhash64("ids")).mapInArrow(kernel, "shard int, block int, at long, n long, docs array<long>, lengths array<long>, control binary, data binary")
     with limits(spark):
         blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     drop(encoded)
