@@ -66,6 +66,37 @@ def rank(a: np.ndarray) -> int:
     return a.shape[1] - gauss(a, np.zeros(len(a)))[1].shape[1]
 
 
+#: The eight greatest primes below 2^31: a product of two remainders fits into 64 bits, and the product of all is above 2^247.
+PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
+
+
+def whole(*parts: np.ndarray) -> bool:
+    """Whether all items are whole numbers below 2^53, which doubles hold without rounding."""
+    return all(bool(np.all((np.abs(x) < 2.0**53) & (x == np.floor(x)))) for x in parts)
+
+
+def whole_ranks(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Ranks of a and of a with the column b, of whole numbers, without a tolerance: the greatest of those modulo PRIMES.
+
+    A rank modulo a prime is never too great, and too small only if the prime divides all minors of the true rank's size. A minor other than 0 of up to four columns is below 2^216, so not all primes divide it; of larger ones all would have to by chance."""
+    rows, n = a.shape
+    start, found = np.column_stack([a, b]).astype(np.int64), (0, 0)
+    for p in PRIMES:
+        m, r = start % p, 0
+        for column in range(n):
+            at = r + np.flatnonzero(m[r:, column])
+            if not len(at):
+                continue
+            m[[r, at[0]]] = m[[at[0], r]]
+            m[r] = m[r] * pow(int(m[r, column]), -1, p) % p
+            m[r + 1 :, column:] = (m[r + 1 :, column:] - m[r + 1 :, [column]] * m[r, column:]) % p
+            r += 1
+        found = max(found[0], r), max(found[1], r + int(m[r:, n].any()))
+        if found == (min(rows, n), min(rows, n + 1)):
+            break
+    return found
+
+
 def tridiagonal(low: np.ndarray, own: np.ndarray, up: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Solves a system with the three diagonals given (low[0] and up[-1] unused) by two sweeps."""
     n = len(b)

@@ -105,6 +105,60 @@ def test_rank_and_feasible_systems(spark):
     assert M.rank(rel([[1, 0], [0, 1], [1, 1]])).first().rank == 2 and M.orthogonal(rel([[0, 1], [1, 0]])).first()[0] and not M.orthogonal(rel(two)).first()[0]
 
 
+def test_feasibility_of_great_whole_numbers(spark, tmp_path):
+    """A right side off by 1 among numbers of 1e9 and more, in the query too; rounded numbers stay feasible."""
+    import duckdb
+
+    from newtonmill.queries import ORACLE_SQL, QUERIES
+
+    rel = lambda m: spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(m) for j, v in enumerate(row)], "i int, j int, v double")
+    vec = lambda b: spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "i int, v double")
+    for size in (10**9, 2**50):
+        rows = [[size, 1], [3, size + 7], [size + 3, size + 8]]
+        b = [row[0] + row[1] for row in rows]
+        assert tuple(M.solvable(rel(rows), vec(b)).first()) == (True, 0)
+        assert tuple(M.solvable(rel(rows), vec([*b[:2], b[2] + 1])).first()) == (False, 0)
+        assert tuple(M.solvable(rel([[size, size], [size, size], [-size, -size]]), vec([1, 1, -1])).first()) == (True, 1)
+    tenths = [[0.1, 0.2], [0.7, 0.3], [0.1 + 0.7, 0.2 + 0.3]]
+    assert M.solvable(rel(tenths), vec([x * 0.1 + y * 0.3 for x, y in tenths])).first().feasible
+    assert not M.solvable(rel(tenths), vec([1, 1, 2.5])).first().feasible
+    duck = duckdb.connect()
+    for size in (1, 10**8, 10**12):
+        duck.execute(f"create or replace table lineitem as select s as l_suppkey, p as l_partkey, CAST({size}*(1 + (s*s + 2*p) % 5) + s AS DOUBLE) as l_quantity from range(12) a(s), range(9) b(p)")
+        (tmp_path / str(size)).mkdir()
+        duck.execute(f"copy lineitem to '{tmp_path / str(size)}/lineitem.parquet' (format parquet)")
+        found = QUERIES["system_feasibility"](spark, str(tmp_path / str(size)))
+        assert sorted(map(tuple, found.select("shift", "feasible", "null_dimension").collect())) == sorted(duck.execute(ORACLE_SQL["system_feasibility"]).fetchall()) == [(0, True, 0), (1, False, 0)]
+
+
+def test_ranks_of_whole_numbers_equal_those_of_fractions():
+    from fractions import Fraction
+
+    from newtonmill.plans import solvers
+
+    def rank(m):
+        m, r = [[Fraction(int(x)) for x in row] for row in m], 0
+        for c in range(len(m[0]) if m else 0):
+            at = next((k for k in range(r, len(m)) if m[k][c]), None)
+            if at is not None:
+                m[r], m[at] = m[at], m[r]
+                m = m[: r + 1] + [[x - y * row[c] / m[r][c] for x, y in zip(row, m[r])] for row in m[r + 1 :]]
+                r += 1
+        return r
+
+    rng = np.random.default_rng(5)
+    cases = [np.diag(solvers.PRIMES[:4]).astype(float), np.zeros((3, 2)), np.zeros((0, 0)), np.diag([2.0**51 - 1] * 3)]
+    for k in range(200):
+        rows, n, inner = rng.integers(1, 7, 3)
+        most = (2, 50, 2**22)[k % 3]
+        cases.append(rng.integers(-most, most, (rows, inner)).astype(float) @ rng.integers(-most, most, (inner, n)))
+    for a in cases:
+        x = rng.integers(-3, 4, a.shape[1])
+        for b in (a @ x, a @ x + rng.integers(0, 2, len(a))):
+            assert solvers.whole(a, b) and solvers.whole_ranks(a, b) == (rank(a), rank(np.column_stack([a, b])))
+    assert not solvers.whole(np.array([0.5])) and not solvers.whole(np.array([np.nan])) and not solvers.whole(np.array([1.0]), np.array([-(2.0**53)]))
+
+
 @pytest.mark.parametrize("tasks", [1, 7])
 def test_interpolation_in_a_group_split_over_tasks(spark, tasks):
     from newtonmill.operators.series import interpolate
